@@ -62,3 +62,33 @@ def task_id() -> int:
 def crc_part(col: str, parts: int):
     """crc32 of the column as text, modulo ``parts``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % parts
+
+
+def fresh(taken, name: str) -> str:
+    """``name``, or with underscores appended until no column (case aside) has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def append_arrow(df: DataFrame, column: str, fields, fn) -> DataFrame:
+    """``df`` with ``fields`` appended; ``fn`` maps the values of ``column`` of an Arrow batch to their arrays.
+
+    Rows stay where they are: no shuffle, and every other column passes through as Arrow.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    schema = StructType(list(df.schema.fields) + list(fields))
+    at = df.columns.index(column)
+
+    def run(batches):
+        for b in batches:
+            # Small slices bound memory when texts are long.
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                more = fn(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays(list(part.columns) + list(more), schema.names)
+
+    return df.mapInArrow(run, schema)

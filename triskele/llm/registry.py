@@ -3,19 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op10_simhash
-from .common import table
+from . import op3_mix, op4_shard, op6_langid, op8_decontaminate, op10_simhash
+from .common import crc_part, shared_root, table
 
-SQL: dict[str, str] = {}
+
+def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_mix.ordered_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_root(spark)
+    out, names = op4_shard.sharded(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[F.col(names[n]).alias(n) for n in ("shard", "shard_depth", "shard_bytes", "shard_docs")])
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = op6_langid.train(op6_langid.training_rows(docs))
+    out, pred, score = op6_langid.predict(docs.select("doc_id", "text"), model)
+    held = F.coalesce(crc_part("doc_id", 5), F.lit(0)) == 0
+    return out.select("doc_id", held.alias("held_out"), F.col(pred).alias("lang_pred"), F.col(score).alias("score"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_root(spark)
+    return op8_decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+SQL = {"op3_curriculum_mix": op3_mix.SQL, "op4_extendible_sharding": op4_shard.sql()}
+
+
 def queries():
-    return {f.__name__: f for f in (op10_simhash_near_dedup,)}
+    every = (op3_curriculum_mix, op4_extendible_sharding, op6_language_id, op8_decontamination, op10_simhash_near_dedup)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
