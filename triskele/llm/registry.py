@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op3_mix, op4_shard, op6_langid, op8_decontaminate, op10_simhash
+from . import op2_exact_dedup, op3_mix, op4_shard, op5_tokens, op6_langid, op7_warc, op8_decontaminate, op10_simhash
 from .common import crc_part, shared_root, table
 
 
+def vocabulary(name: str) -> str:
+    """Where the installed vocabulary file lies; operators take its path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_mix.ordered_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -19,6 +30,10 @@ def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(names[n]).alias(n) for n in ("shard", "shard_depth", "shard_bytes", "shard_docs")])
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_tokens.token_output(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = op6_langid.train(op6_langid.training_rows(docs))
@@ -27,6 +42,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), F.col(pred).alias("lang_pred"), F.col(score).alias("score"))
 
 
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_root(spark)
     return op8_decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -36,11 +55,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-SQL = {"op3_curriculum_mix": op3_mix.SQL, "op4_extendible_sharding": op4_shard.sql()}
+SQL = {"op2_grace_exact_dedup": op2_exact_dedup.SQL, "op7_warc_round_trip": op7_warc.SQL, "op3_curriculum_mix": op3_mix.SQL, "op4_extendible_sharding": op4_shard.sql()}
 
 
 def queries():
-    every = (op3_curriculum_mix, op4_extendible_sharding, op6_language_id, op8_decontamination, op10_simhash_near_dedup)
+    every = (
+        op2_grace_exact_dedup, op3_curriculum_mix, op4_extendible_sharding, op5_token_output, op6_language_id,
+        op7_warc_round_trip, op8_decontamination, op10_simhash_near_dedup,
+    )
     return {f.__name__: f for f in every}
 
 
