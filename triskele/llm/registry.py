@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op2_exact_dedup, op3_mix, op4_shard, op5_tokens, op6_langid, op7_warc, op8_decontaminate, op10_simhash
+from . import (
+    op1_html, op2_exact_dedup, op3_mix, op4_shard, op5_tokens, op6_langid, op7_warc, op8_decontaminate, op9_toxicity, op10_simhash,
+)
 from .common import crc_part, shared_root, table
 
 
@@ -16,6 +18,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, text = op1_html.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col(text).alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+
+
 def op2_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -51,6 +58,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = op9_toxicity.train(op9_toxicity.learnable(docs, table(spark, sf_dir, "labels")))
+    out, score = op9_toxicity.score(docs, model)
+    held = F.coalesce(crc_part("doc_id", 3), F.lit(0)) == 1
+    return out.select("doc_id", held.alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -60,8 +75,8 @@ SQL = {"op2_grace_exact_dedup": op2_exact_dedup.SQL, "op7_warc_round_trip": op7_
 
 def queries():
     every = (
-        op2_grace_exact_dedup, op3_curriculum_mix, op4_extendible_sharding, op5_token_output, op6_language_id,
-        op7_warc_round_trip, op8_decontamination, op10_simhash_near_dedup,
+        op1_html_extraction, op2_grace_exact_dedup, op3_curriculum_mix, op4_extendible_sharding, op5_token_output, op6_language_id,
+        op7_warc_round_trip, op8_decontamination, op9_toxicity_scores, op10_simhash_near_dedup,
     )
     return {f.__name__: f for f in every}
 
