@@ -26,13 +26,13 @@ def containment_join(hits: DataFrame, windows: DataFrame, keys: list[str], bin_s
 def nearest(hits: DataFrame, windows: DataFrame, keys: list[str], hit_id: list[str]) -> DataFrame:
     """Per hit the distance to the nearest window of equal keys; null without one."""
     d = interval_distance(F.col("h0"), F.col("h1"), F.col("start_j"), F.col("end_j"))
-    return hits.join(windows.select(*keys, "start_j", "end_j"), keys, "left").groupBy(*hit_id).agg(F.min(d).alias("distance"))
+    return hits.join(windows.select(*keys, "start_j", "end_j"), keys, "left").groupBy(*hit_id).agg(F.min(F.when(F.col("start_j").isNotNull(), d)).alias("distance"))
 
 
 def attribute(missing: DataFrame, trace: DataFrame, keys: list[str], hit_id: list[str], near: int) -> DataFrame:
     """Each missing hit with its class: inside_kept, inside_rejected, near_kept (within ``near``) or far_outside."""
     kept, rejected = trace.filter("after_gate"), trace.filter("not after_gate")
-    one = lambda w, name: containment_join(missing.select(*keys, *[c for c in hit_id if c not in keys], "h0", "h1"), w.select(*keys, "start_j", "end_j"), keys).select(*hit_id).distinct().withColumn(name, F.lit(True))
+    one = lambda w, name: containment_join(missing.select(*dict.fromkeys([*keys, *hit_id, "h0", "h1"])), w.select(*keys, "start_j", "end_j"), keys).select(*hit_id).distinct().withColumn(name, F.lit(True))
     out = missing.join(one(kept, "in_kept"), hit_id, "left").join(one(rejected, "in_rejected"), hit_id, "left").join(nearest(missing, kept, keys, hit_id), hit_id, "left")
     return out.withColumn(
         "class", F.when(F.col("in_kept"), "inside_kept").when(F.col("in_rejected"), "inside_rejected").when(F.col("distance") <= near, "near_kept").otherwise("far_outside")

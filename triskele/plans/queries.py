@@ -350,13 +350,13 @@ ATTRIBUTED = HITLESS + """, att AS (SELECT ms.*, CASE WHEN EXISTS (SELECT 1 FROM
 
 @query(ATTRIBUTED + " SELECT task, line, distance, class FROM att")
 def missing_hit_classes(spark, d):
-    return AT.attribute(missing_hits(spark, d), trace(spark, d), T, ["task", "line"], 12).select("task", "line", "distance", "class")
+    return AT.attribute(missing_hits(spark, d), trace(spark, d), T, ["task", "line", "h0", "h1"], 12).select("task", "line", "distance", "class")
 
 
 @query(ATTRIBUTED + """ SELECT c AS class, coalesce(n, 0) AS n, coalesce(w, 0)::BIGINT AS weight, coalesce(n, 0)::DOUBLE / t.n_all AS n_share, coalesce(w, 0)::DOUBLE / t.w_all::DOUBLE AS weight_share
   FROM (SELECT unnest(['inside_kept', 'inside_rejected', 'near_kept', 'far_outside']) AS c) LEFT JOIN (SELECT class, count(*) AS n, sum(score) AS w FROM att GROUP BY class) q ON q.class = c, (SELECT count(*) AS n_all, sum(score) AS w_all FROM att) t""")
 def class_shares(spark, d):
-    a = AT.attribute(missing_hits(spark, d), trace(spark, d), T, ["task", "line"], 12)
+    a = AT.attribute(missing_hits(spark, d), trace(spark, d), T, ["task", "line", "h0", "h1"], 12)
     return AT.class_shares(a, ["inside_kept", "inside_rejected", "near_kept", "far_outside"])
 
 
