@@ -34,6 +34,7 @@ from .common import filesystem, scratch, shared_root, task_id, written
 
 BLOCK = 16 << 20
 HEADER = 64 << 10
+BROADCAST_ROWS = 500_000
 LEAST = 100
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d{1,18})[ \t]*\r\n", re.I)
@@ -71,6 +72,9 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = LEAST)
         pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"))
         .filter(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     )
+    same = written(same, "repeats")
+    if same.count() <= BROADCAST_ROWS:  # about 50 MB; beyond, pages are shuffled by digest
+        same = F.broadcast(same)
     rows = rows.join(same, "digest", "left").select("page_id", "url", "payload", "digest", "first")
 
     def write(batches):
