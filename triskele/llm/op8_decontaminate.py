@@ -235,3 +235,27 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without the contaminated ones."""
     out, found = contamination(docs, benchmark, **how)
     return out.filter(~is_contaminated(found)).select(*docs.columns)
+
+
+def sql(window: int = WINDOW) -> str:
+    """DuckDB SQL for ``report``."""
+    words = lambda t: f"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    leads = ", ".join(f"lead(w, {k}) OVER o AS l{k}" for k in range(1, window))
+    runs = " UNION ALL ".join(
+        f"SELECT r, p, {n} AS n, concat_ws(' ', {', '.join(f'l{k}' for k in range(n))}) AS s FROM l WHERE l{n - 1} IS NOT NULL AND {n} IN (SELECT n FROM iw)" for n in range(1, window + 1)
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({words("text")}, []) AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words("text")} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, least(len(w), {window}) AS n, array_to_string(w[p:p + least(len(w), {window}) - 1], ' ') AS s
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - {window - 1}, 1))) AS p FROM i WHERE len(w) > 0)),
+u AS (SELECT r, unnest(w) AS w, unnest(generate_series(1, len(w))) AS p FROM d WHERE len(w) > 0),
+l AS (SELECT r, p, w AS l0, {leads} FROM u WINDOW o AS (PARTITION BY r ORDER BY p)),
+dw AS ({runs}),
+h AS (SELECT r, p, dw.n AS n, item FROM dw JOIN iw ON dw.s = iw.s AND dw.n = iw.n),
+k AS (SELECT r, count(DISTINCT q) AS hit FROM (SELECT r, unnest(generate_series(p, p + n - 1)) AS q FROM h) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item) AS items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM h GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit, 0)::BIGINT AS n_hit, coalesce(items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(hit, 0) > 0 AND 20 * coalesce(hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN k ON k.r = d.r LEFT JOIN t ON t.r = d.r
+"""

@@ -70,7 +70,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-SQL = {"op2_grace_exact_dedup": op2_exact_dedup.SQL, "op7_warc_round_trip": op7_warc.SQL, "op3_curriculum_mix": op3_mix.SQL, "op4_extendible_sharding": op4_shard.sql()}
+SQL = {"op2_grace_exact_dedup": op2_exact_dedup.SQL, "op7_warc_round_trip": op7_warc.SQL, "op3_curriculum_mix": op3_mix.SQL, "op4_extendible_sharding": op4_shard.sql(), "op8_decontamination": op8_decontaminate.sql()}
 
 
 def queries():
