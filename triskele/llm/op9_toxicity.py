@@ -7,8 +7,8 @@ distance. A text's margin is its largest distance plus one for each of up to fou
 or above the hit threshold. Margins are calibrated on labelled texts kept apart from the dictionaries, by
 monotone regression, to the probability of the toxic label.
 
-At most ``docs_per_label`` texts a label, chosen by hash, are learned from (a parameter). Equal
-windows are compressed once per worker while they are remembered.
+At most ``docs_per_label`` texts a label, chosen by hash, are learned from (a parameter), and of near
+copies among them only one. Equal windows are compressed once per worker while they are remembered.
 
 Edge cases: null and wordless texts have the lowest margin; without both labels in the sample every
 text scores the share of toxic labels (0 if there are none); repeated rows score alike; rows with a
@@ -23,6 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,14 @@ def windows(text: str | None, width: int = WINDOW_WORDS) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
+def sketch(text: str) -> list[int]:
+    """Four minimum hashes of the text's three-word shingles: near copies share one of them almost surely."""
+    words = text.lower().encode("utf-8", "surrogatepass").translate(_SPLIT).split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
+    return [int((((h ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) ^ (h >> np.uint64(7 + k))).min()) for k in range(4)]
+
+
 def _likelihood_ratio(a: int, b: int, n1: int, n0: int) -> float:
     p = (a + b) / (n1 + n0)
 
@@ -159,7 +168,13 @@ def train(rows: DataFrame, docs_per_label: dict[int, int] | None = None, width:
     share = F.when(F.col("toxic") == 1, min(1.0, bound[1] / n1)).otherwise(min(1.0, bound[0] / n0))
     some = rows.filter(chance < share).select("text", "toxic", (F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(3)) == 0).alias("apart"))
     counts, seen, kept, apart = (Counter(), Counter()), [0, 0], [], []
+    known: set[int] = set()
     for r in some.toLocalIterator(prefetchPartitions=False):
+        marks = sketch(r["text"])  # of near copies one is learned from: else a text copied often would lend its words its label
+        copy = not known.isdisjoint(marks)
+        known.update(marks)
+        if copy:
+            continue
         if r["apart"]:
             apart.append((r["text"], r["toxic"]))
             continue
