@@ -34,10 +34,18 @@ from pyspark.sql import functions as F
 from .common import filesystem, scratch, shared_root, task_id
 
 END_ID = 0
-MEMO = 500_000
-#: A blank is a sure boundary where an ordinary character follows; white space beyond blanks is left to the library.
-_ODD = re.compile(r" (?=[\s\x1c-\x1f\x85᠎​]|\Z)")
-_SURE = re.compile(r"(?= [^\s\x1c-\x1f\x85᠎​])")
+MEMO = 800_000
+_BLANK = r"\s\x1c-\x1f\x85\u180e\u200b"
+#: White space other than blanks and line feeds, and pairs that make a text go the general way.
+_OTHER = [c for c in map(chr, [*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+_PAIRS = ["  ", " \n", "\n ", "\n\n"]
+#: Boundaries in any text: before a blank that an ordinary character follows.
+_SURE = re.compile(rf"(?= [^{_BLANK}])")
+
+
+def odd(text: str) -> bool:
+    """White space next to white space or to the text's ends, or other than blanks and line feeds."""
+    return text[:1] in ("", " ", "\n") or text[-1] in " \n" or any(x in text for x in _PAIRS) or any(x in text for x in _OTHER)
 
 
 class Encoder:
@@ -51,32 +59,64 @@ class Encoder:
         kind = type(self.tok.pre_tokenizer).__name__
         self.splits = kind == "ByteLevel" and self.tok.normalizer is None and "add_prefix_space=False" in repr(self.tok.pre_tokenizer)
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        self.memo: dict[str, bytes] = {}
+        #: Bytes of text each id stands for: one per character of its byte-level name.
+        self.bytes = np.zeros(self.tok.get_vocab_size(), dtype=np.int64)
+        for token, k in self.tok.get_vocab().items():
+            self.bytes[k] = len(token)
+        #: Ids of pieces as they stand, and of pieces after a blank (the key is without it).
+        self.plain: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}
         self.end = np.array([END_ID], dtype=self.dtype).tobytes()
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, memo: dict[str, bytes], pieces: set[str], before: str) -> None:
+        """Encode what is new. After a blank, many pieces go as one text, which is cut again where their bytes end."""
+        new = list(pieces.difference(memo))
+        for lo in range(0, len(new) if not before else 0, 4096):
+            some = new[lo : lo + 4096]
+            memo.update(zip(some, self._ids(some)))
+        for lo in range(0, len(new) if before else 0, 8192):
+            some = new[lo : lo + 8192]
+            joined = [before + before.join(some[i : i + 128]) for i in range(0, len(some), 128)]
+            ids = np.concatenate([np.array(e.ids, dtype=np.int64) for e in self.tok.encode_batch_fast(joined, add_special_tokens=False)])
+            ends = np.cumsum(np.fromiter((len(x.encode()) + len(before) for x in some), np.int64, len(some)))
+            cuts = (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1) * len(self.end)
+            data, at = ids.astype(self.dtype).tobytes(), 0
+            for x, to in zip(some, cuts.tolist()):
+                memo[x] = data[at:to]
+                at = to
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.splits:
-            return [np.array(e.ids, dtype=self.dtype).tobytes() + self.end for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        pieces, new = [], set()
-        memo = self.memo
+            return [x + self.end for x in self._ids(texts)]
+        if len(self.plain) + len(self.after) > MEMO:
+            self.plain.clear()
+            self.after.clear()
+        # A line is a first word and words after blanks; a line feed between ordinary characters is a piece of its own.
+        parted: list[tuple[list[str], list[list[str]] | None]] = []
+        plain, after = {"\n"}, set()
         for t in texts:
-            if _ODD.search(t):
-                p = _SURE.split(t)
+            if odd(t):
+                first, rest = _SURE.split(t), None
+            else:
+                rest = [line.split(" ") for line in t.split("\n")]
+                first = [words.pop(0) for words in rest]
+                for words in rest:
+                    after.update(words)
+            plain.update(first)
+            parted.append((first, rest))
+        self._learn(self.plain, plain, "")
+        self._learn(self.after, after, " ")
+        p, a, feed = self.plain.__getitem__, self.after.__getitem__, self.plain["\n"]
+        out = []
+        for first, rest in parted:
+            if rest is None:
+                out.append(b"".join(map(p, first)) + self.end)
             else:
-                p = t.split(" ")
-                p[1:] = [" " + x for x in p[1:]]
-            pieces.append(p)
-            new.update(p)
-        new.difference_update(memo)
-        if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = {x for p in pieces for x in p}
-            new = list(new)
-            for lo in range(0, len(new), 4096):
-                for x, e in zip(new[lo : lo + 4096], self.tok.encode_batch_fast(new[lo : lo + 4096], add_special_tokens=False)):
-                    memo[x] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return [b"".join(map(memo.__getitem__, p)) + self.end for p in pieces]
+                out.append(feed.join([p(x) + b"".join(map(a, words)) for x, words in zip(first, rest)]) + self.end)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
