@@ -12,6 +12,7 @@ from ..operators import compare as C
 from ..operators import coverage as COV
 from ..operators import frontier as FR
 from ..operators import gate as G
+from ..operators import replay as R
 from ..operators import sequences as SQ
 from ..operators import windows as W
 from .bindings import bound, with_views
@@ -508,3 +509,48 @@ def telemetry_values(spark, d):
 @query("""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^.*/', ''), '\\.(fa|fasta)$', ''), '[^A-Za-z0-9._-]', '_', 'g') AS name FROM pages WHERE url IS NOT NULL""")
 def clean_names(spark, d):
     return read(spark, d, "pages").filter("url is not null").select("page_id", S.clean_name(F.col("url")).alias("name"))
+
+
+W1 = "best DESC, support DESC, m DESC NULLS LAST, start_j, end_j, ordinal"
+
+
+@query(GATE + f""", x AS (SELECT *, unnest(list_filter(['dominant', CASE WHEN best >= 85 THEN 'ge85' END, CASE WHEN best BETWEEN 80 AND 84 THEN 'band_80_84' END, CASE WHEN best BETWEEN 75 AND 79 THEN 'band_75_79' END], lambda s: s IS NOT NULL)) AS strategy FROM gated WHERE NOT after_gate)
+  SELECT task, strategy, ordinal FROM x QUALIFY row_number() OVER (PARTITION BY task, strategy ORDER BY {W1}) = 1""")
+def replay_strategies(spark, d):
+    return R.replay(trace(spark, d), T).select("task", "strategy", "ordinal")
+
+
+@query(GATE + f""", o AS (SELECT *, row_number() OVER (PARTITION BY task, rule, strand ORDER BY {W1}) AS nth, count(*) OVER (PARTITION BY task, rule, strand) AS n, sum(bp) OVER (PARTITION BY task, rule, strand) AS total_bp FROM gated WHERE NOT after_gate)
+  SELECT task, rule, strand, ordinal, n, total_bp::BIGINT AS total_bp, CAST(row_number() OVER (PARTITION BY task ORDER BY {W1}) AS INTEGER) AS object_rank FROM o WHERE nth = 1""")
+def rule_strand_objects(spark, d):
+    return R.rule_strand_objects(trace(spark, d), T).select("task", "rule", "strand", "ordinal", "n", "total_bp", "object_rank")
+
+
+@query(HITLESS + """ SELECT ms.task, ms.line, ms.h0, CASE WHEN EXISTS (SELECT 1 FROM gated g WHERE g.task = ms.task AND g.after_gate AND g.start_j <= ms.h0 AND g.end_j >= ms.h1) THEN 'survived_gate_missing_downstream'
+  WHEN EXISTS (SELECT 1 FROM gated g WHERE g.task = ms.task AND g.start_j <= ms.h0 AND g.end_j >= ms.h1) THEN 'rejected_by_gate' ELSE 'none' END AS autopsy FROM miss ms""")
+def hit_autopsy(spark, d):
+    return R.autopsy(missing_hits(spark, d), trace(spark, d), T, ["task", "line", "h0", "h1"]).select("task", "line", "h0", "autopsy")
+
+
+@query(GATE + """ SELECT reject_reason, sum(best)::BIGINT AS weight, count(*) AS n FROM gated WHERE NOT after_gate GROUP BY 1 ORDER BY weight DESC, reject_reason LIMIT 1""")
+def recommendation(spark, d):
+    return R.recommend(trace(spark, d).filter("not after_gate"), "reject_reason", "best")
+
+
+@query("""SELECT user_id, CASE WHEN min(t) IS NULL THEN 'view' WHEN min(t) = max(t) THEN min(t) ELSE 'mixed' END AS label FROM (SELECT user_id, CASE WHEN event_type <> 'view' THEN event_type END AS t FROM events) GROUP BY user_id""")
+def merged_labels(spark, d):
+    return read(spark, d, "events").groupBy("user_id").agg(R.merged_label(F.col("event_type"), "view").alias("label"))
+
+
+@query("""SELECT a.task, a.ordinal AS a, b.ordinal AS b FROM windows a JOIN windows b ON a.task = b.task AND b.ordinal <= 2 AND a.start_j <= b.end_j AND b.start_j <= a.end_j AND a.best <= b.best + 5 * b.support AND b.best <= a.best + 5 * a.support""")
+def box_overlap(spark, d):
+    w = bound(spark, d, "windows")
+    side = lambda p: w.select("task", F.col("ordinal").alias(p), F.col("start_j").alias(f"{p}_row0"), F.col("end_j").alias(f"{p}_row1"), F.col("best").alias(f"{p}_col0"), (F.col("best") + 5 * F.col("support")).alias(f"{p}_col1"))
+    return R.overlapping_boxes(side("a"), side("b").filter("b <= 2"), T).select("task", "a", "b")
+
+
+@query("""WITH s AS (SELECT doc_id, length(text) AS n, CAST(ceil(length(text) / 256.0) * 256 AS BIGINT) AS shape FROM documents WHERE text IS NOT NULL), b AS (SELECT *, (row_number() OVER (PARTITION BY shape ORDER BY n, doc_id) - 1) // 32 AS batch FROM s)
+  SELECT shape, batch, count(*) AS n, max(n) AS longest, sum(n)::BIGINT AS total, (max(n) * count(*) - sum(n)) * 10 <= max(n) * count(*) AS padded FROM b GROUP BY shape, batch""")
+def shape_batches(spark, d):
+    docs = read(spark, d, "documents").filter("text is not null").select("doc_id", F.length("text").cast("bigint").alias("len"))
+    return R.batches(docs, "len", "doc_id").select("shape", "batch", "n", "longest", "total", "padded")

@@ -50,3 +50,10 @@ def wrapped(seq: Column, width: int = 60) -> Column:
 def write_fasta(rows: DataFrame, path: str, width: int = 60) -> None:
     """Text files of records (header, seq) with lines of ``width`` bases."""
     rows.select(F.concat(F.lit(">"), "header", F.lit("\n"), wrapped(F.col("seq"), width)).alias("value")).write.text(path)
+
+
+def tiled_records(spark: SparkSession, seq: str, records: int, species: str = "tile", chr_: str = "chr1") -> DataFrame:
+    """``records`` copies of a sequence as records with consecutive coordinates, for throughput runs."""
+    n = len(seq)
+    at = F.col("id") * n + 1
+    return spark.range(records).select(F.format_string(f"{species}|{chr_}|%d-%d", at, at + n - 1).alias("header"), F.lit(seq).alias("seq"))

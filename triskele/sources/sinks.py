@@ -44,3 +44,21 @@ def write_bedgraph(runs: DataFrame, path: str, header: list[str]) -> None:
 def write_trace(trace: DataFrame, path: str) -> None:
     flags = {c: F.col(c).cast("int") for c, k in trace.dtypes if k == "boolean"}
     trace.withColumns(flags).write.option("sep", "\t").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+def markdown(rows: DataFrame, most: int = 100) -> str:
+    """A small frame as a Markdown table; at most ``most`` rows are rendered, since reports are read by people."""
+    lines = ["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
+    for r in rows.limit(most).collect():
+        lines.append("| " + " | ".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) + " |")
+    return "\n".join(lines)
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A frame as one JSON document per row."""
+    rows.write.json(path)
+
+
+def write_selected_tasks(rows: DataFrame, tile: str, path: str) -> None:
+    """Selected-task tables, one folder per tile."""
+    rows.repartition(tile).write.option("sep", "\t").option("header", True).partitionBy(tile).csv(path)
