@@ -147,26 +147,30 @@ class Model:
         return float(self.values[min(k, len(self.values) - 1)])
 
 
-def learnable(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
-    """(doc_id, text, toxic) of labelled rows whose crc32 of doc_id as text is not ``held_out`` modulo ``folds``."""
+def learnable(labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
+    """(doc_id, toxic) of labels whose crc32 of doc_id as text is not ``held_out`` modulo ``folds``; a doc_id with both labels is toxic."""
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % folds
-    use = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & (fold != held_out))
-    one = use.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(one, "doc_id").filter("text is not null")
+    use = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold != held_out))
+    return use.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def train(rows: DataFrame, docs_per_label: dict[int, int] | None = None, width: int = WINDOW_WORDS) -> Model:
-    """``rows``: doc_id, text, toxic. Two thirds of the sample make the dictionaries, one third the calibration."""
+def train(docs: DataFrame, labels: DataFrame, docs_per_label: dict[int, int] | None = None, width: int = WINDOW_WORDS) -> Model:
+    """``docs``: doc_id, text; ``labels``: doc_id, toxic. Two thirds of the sample make the dictionaries, one third the calibration.
+
+    The sample is drawn from the labels and is as small as its bound, so it is broadcast and no text is shuffled.
+    """
     bound = docs_per_label or DOCS_PER_LABEL
-    ids = rows.select("doc_id", "toxic")
-    found = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    labels = labels.filter("doc_id is not null")
+    found = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = found.get(0, 0), found.get(1, 0)
     base = n1 / (n0 + n1) if n0 + n1 else 0.0
     if not n0 or not n1:
         return Model(base=base)
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("toxic") == 1, min(1.0, bound[1] / n1)).otherwise(min(1.0, bound[0] / n0))
-    some = rows.filter(chance < share).select("text", "toxic", (F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(3)) == 0).alias("apart"))
+    chosen = F.broadcast(labels.filter(chance < share).select("doc_id", "toxic"))
+    some = docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id")
+    some = some.select("text", "toxic", (F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(3)) == 0).alias("apart"))
     counts, seen, kept, apart = (Counter(), Counter()), [0, 0], [], []
     known: set[int] = set()
     for r in some.toLocalIterator(prefetchPartitions=False):

@@ -60,7 +60,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = op9_toxicity.train(op9_toxicity.learnable(docs, table(spark, sf_dir, "labels")))
+    model = op9_toxicity.train(docs, op9_toxicity.learnable(table(spark, sf_dir, "labels")))
     out, score = op9_toxicity.score(docs, model)
     held = F.coalesce(crc_part("doc_id", 3), F.lit(0)) == 1
     return out.select("doc_id", held.alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.7).cast("int").alias("predicted"))
