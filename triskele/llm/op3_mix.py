@@ -25,11 +25,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
 WEIGHTS = (1.0, 2.0, 3.0)
+BROADCAST_ROWS = 500_000
 KNOT = "array<struct<t:double,w:double>>"
 
 
@@ -157,9 +158,7 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     Wordless documents weigh nothing and stay, once, at position 0. Rows that share a doc_id and a
     source are matched by their size as well; rows alike in all three are taken alike.
     """
-    cols, spark = docs.columns, docs.sparkSession
-    del spark
-    names = []
+    cols, names = docs.columns, []
     for n in ("mix_id", "mix_source", "mix_size", "mix_position"):
         names.append(fresh([*cols, *names], n))
     i, s, z, p = names
@@ -169,6 +168,9 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
         F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(z),
         F.explode(F.when(F.size("copies") > 0, F.transform("copies", lambda c: c["position"])).otherwise(F.array(F.lit(0.0)))).alias(p),
     )
+    takes = written(takes, "takes")
+    if takes.count() <= BROADCAST_ROWS:  # about 50 MB; beyond, texts are shuffled to their takes before the range sort
+        takes = F.broadcast(takes)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     match = docs["doc_id"].eqNullSafe(takes[i]) & docs["source"].cast("string").eqNullSafe(takes[s]) & (size == takes[z])
     return docs.join(takes, match).repartitionByRange(F.col(p), F.col("doc_id")).sortWithinPartitions(p, "doc_id").select(*cols)
