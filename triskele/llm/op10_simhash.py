@@ -339,7 +339,9 @@ def simhash_components(docs: DataFrame, tau: int = TAU, bucket_cap: int = BUCKET
     roots = components(links(per_fp, tau, bucket_cap))
     grouped = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     best = grouped.filter("root is not null").groupBy("root").agg(F.min("low").alias("least"))
-    final = written(grouped.join(best, "root", "left").select("fp", F.coalesce("least", "low").alias("component_id")), "classes")
+    # Fingerprints without a link have no root; they are their own class and stay out of the join.
+    final = grouped.filter("root is not null").join(best, "root").select("fp", F.col("least").alias("component_id"))
+    final = written(final.union(grouped.filter("root is null").select("fp", "low")), "classes")
     return per_doc.join(final, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
