@@ -159,6 +159,21 @@ def test_warc(spark):
     assert op7_warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_with_long_urls(spark):
+    shared_root(spark)
+    rows = [(i, "http://a/" + "ü€"[i % 2] * n, f"<p>page {i} WARC/1.1\r\n</p>") for i, n in enumerate([1, 12000, 2, 30000, 0, 3])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    for block in (1 << 24, 100000):
+        got = sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in op7_warc.round_trip(pages, block).collect())
+        assert got == [(i, len(h), hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows]
+
+
+def test_headers_share_a_blank_line():
+    data = b"WARC/1.1\r\n" * 3 + b"Content-Length: 7\r\nWARC/1.0\r\nX: y\r\n\r\n" + b"WARC/1.1\r\nContent-Length: 9\r\n\r\nWARC/1.1\r\nContent-Length: 1\r\n"
+    starts = [m.start() for m in op7_warc.MAGIC.finditer(data)]
+    assert list(op7_warc.parse_headers(data, starts)) == [(67, 7), (57, 7), (47, 7), None, (31, 9), None]
+
+
 def test_broken_warc(spark, tmp_path):
     a = op7_warc.record(1, "u", b"one", "d", None, False)
     b = op7_warc.record(2, "u", b"two", "d", None, False)

@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from itertools import takewhile
 from urllib.parse import quote
 
 import numpy as np
@@ -33,9 +34,11 @@ from pyspark.sql import functions as F
 from .common import filesystem, scratch, shared_root, task_id, written
 
 BLOCK = 16 << 20
+#: How much is read at first for a header; reads grow until its blank line is found.
 HEADER = 64 << 10
 BROADCAST_ROWS = 500_000
 LEAST = 100
+BLANK = b"\r\n\r\n"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d{1,18})[ \t]*\r\n", re.I)
 _FIELD = re.compile(rb"\r\n([A-Za-z-]+):[ \t]*([^\r\n]*)")
@@ -102,25 +105,49 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = LEAST)
 
 def parse_header(data: bytes, at: int = 0) -> tuple[int, int] | None:
     """(length of the header with its blank line, length of the block) of the record at ``at``, or None."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER)
-    if end < 0:
-        return None
-    n = _LENGTH.search(data, at, end + 2)
-    return (end + 4 - at, int(n[1])) if n else None
+    return next(parse_headers(data, [at]))
+
+
+def parse_headers(data: bytes, starts):
+    """``parse_header`` of each of the ascending ``starts``; bytes that several headers share are searched once."""
+    end, n = -1, None
+    for at in starts:
+        fresh = end < at
+        if fresh:
+            end = data.find(BLANK, at)
+            if end < 0:
+                end = len(data)  # no later header ends either
+        if end == len(data):
+            yield None
+            continue
+        if fresh or n and n.start() < at:
+            n = _LENGTH.search(data, at, end + 2)
+        yield (end + 4 - at, int(n[1])) if n else None
+
+
+def read_headers(f, low: int, high: int, size: int) -> bytes:
+    """The bytes from ``low`` to ``high`` and as many after them as the headers that begin before ``high`` need."""
+    data, step = f.read_at(min(size, high + HEADER) - low, low), HEADER
+    while low + len(data) < size:
+        last = MAGIC.search(data, max(0, data.rfind(BLANK)))
+        if not last or last.start() + low >= high:
+            break
+        step *= 2
+        data += f.read_at(min(step, size - low - len(data)), low + len(data))
+    return data
 
 
 def block_exits(data: bytes, low: int, high: int, start: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate offsets in [low, high) and where the chain of each leaves the block (-1: it breaks).
 
-    ``data`` are the archive's bytes from ``start`` on, enough for a header beyond ``high``.
+    ``data`` are the archive's bytes from ``start`` on, enough for the headers that begin before ``high``.
     """
     offs, nexts = [], []
-    for m in MAGIC.finditer(data, low - start):
-        if m.start() + start >= high:
-            break
-        if got := parse_header(data, m.start()):
-            offs.append(m.start() + start)
-            nexts.append(m.start() + start + got[0] + got[1] + 4)
+    found = list(takewhile(lambda k: k + start < high, (m.start() for m in MAGIC.finditer(data, low - start))))
+    for k, got in zip(found, parse_headers(data, found)):
+        if got:
+            offs.append(k + start)
+            nexts.append(k + start + got[0] + got[1] + 4)
     at, succ = np.array(offs, dtype=np.int64), np.array(nexts, dtype=np.int64)
     if not len(at):
         return at, succ
@@ -149,7 +176,7 @@ def entries(files: DataFrame, block: int = BLOCK) -> DataFrame:
             for file, size, k in zip(*[b.column(i).to_pylist() for i in range(3)]):
                 low, high = k * block, min(size, (k + 1) * block)
                 with _open(file) as f:
-                    data = f.read_at(min(size, high + HEADER) - low, low)
+                    data = read_headers(f, low, high, size)
                 at, to = block_exits(data, low, high, low)
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(at), pa.string()), pa.array(at), pa.array(to)], ["file", "at", "to"])
 
@@ -183,7 +210,7 @@ def read_warc(files: DataFrame, block: int = BLOCK) -> DataFrame:
     def records(f, size, entry):
         at, high = entry, (entry // block + 1) * block
         while at < min(size, high):
-            head = f.read_at(min(HEADER, size - at), at)
+            head = read_headers(f, at, at + 1, size)
             got = parse_header(head) if MAGIC.match(head) else None
             if not got or at + got[0] + got[1] + 4 > size:
                 return
