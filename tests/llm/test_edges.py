@@ -241,6 +241,34 @@ def test_html(spark, empty):
     assert op1_html.extracted(pages.limit(0))[0].count() == 0
 
 
+ARTICLE = "<article><h1>Title of it</h1><p>Some words are here, and more of them follow &amp; end.</p>{}<p>Another paragraph of the text, which is long enough.</p></article>"
+
+
+@pytest.mark.parametrize("tag", ['<img src="data:image/png;base64,{}">', "<p data-x='{}>'>One more paragraph of the text, with a long attribute.</p>", '<script data-x="{}">if (a) b("c");</script>'])
+def test_html_attributes_of_any_length(tag):
+    short, long = (op1_html.Page(ARTICLE.format(tag.format("iVBORw0K" * n))) for n in (1, 25000))
+    assert short.text == long.text and short.parent == long.parent and short.kind == long.kind
+    assert not any("iVBOR" in (t or "") or "if (a)" in (t or "") for t in long.text)
+    a, b = op1_html.extract([ARTICLE.format(tag.format("iVBORw0K" * n)) for n in (1, 25000)], op1_html.model())
+    assert a == b and "Another paragraph" in b
+
+
+@pytest.mark.parametrize("n", [3, 600])
+def test_html_deep_nesting(n):
+    page = op1_html.Page("<article><section>" + "<div>" * n + "deep" + "</div>" * n + "<p>after</p></section>beside</article>end")
+    at = {t: i for i, t in enumerate(page.text) if t}
+
+    def above(i):
+        out = []
+        while (i := page.parent[i]) >= 0:
+            out.append(op1_html.KINDS[page.kind[i]])
+        return out
+
+    assert above(at["deep"]) == ["div"] * n + ["section", "article", "page"]
+    assert above(at["after"]) == ["p", "section", "article", "page"]
+    assert above(at["beside"]) == ["article", "page"] and above(at["end"]) == ["page"]
+
+
 def test_html_decoding_is_consistent():
     parent = [-1, 0, 0, 1, 1, 2]
     keep = op1_html.decode(parent, op1_html.np.array([1.0, 0.5, -3.0, 2.0, -1.0, 1.0]))

@@ -33,9 +33,11 @@ from .common import append_arrow, fresh
 from .gbt import BoostedTrees
 
 DROPPED = "script|style|noscript|template|svg|math|canvas|iframe|object|head|title|select|textarea|audio|video"
+#: Of any length; possessive, as no part can be read in two ways.
+ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({DROPPED})(?=[\s/>])(?:[^>\"']|\"[^\"]{{0,65536}}\"|'[^']{{0,65536}}')*>(?:.*?</\1\s*>|.*\Z)?"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*)>",
+    rf"<!--.*?(?:-->|\Z)|<({DROPPED})(?=[\s/>]){ATTRIBUTES}>(?:.*?</\1\s*>|.*\Z)?"
+    rf"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>",
     re.S | re.I,
 )
 BLOCKS = {
@@ -96,6 +98,7 @@ class Page:
         self.controls: list[int] = []
         self.tags: list[int] = []
         self._stack: list[tuple[int, str]] = []
+        self._open: dict[str, list[int]] = {}  # where each tag stands on the stack
         self._run: list[str] = []
         self._link_chars = self._inline = 0
         self._parse(source)
@@ -111,6 +114,19 @@ class Page:
         self.tags.append(0)
         return len(self.kind) - 1
 
+    def _push(self, node: int, tag: str) -> None:
+        self._open.setdefault(tag, []).append(len(self._stack))
+        self._stack.append((node, tag))
+
+    def _cut(self, at: int) -> None:
+        """Close the elements from ``at`` on the stack upwards."""
+        while len(self._stack) > at:
+            self._open[self._stack.pop()[1]].pop()
+
+    def _nearest(self, tags) -> int:
+        """The highest place on the stack of one of ``tags``; 0 if none is open."""
+        return max((at[-1] for t in tags if (at := self._open.get(t))), default=0)
+
     def _flush(self) -> None:
         text = " ".join(entities.unescape("".join(self._run)).split()) if self._run else ""
         if text:
@@ -145,28 +161,22 @@ class Page:
             self._flush()
             in_link = False
             if m[2]:
-                for k in range(len(self._stack) - 1, 0, -1):
-                    if self._stack[k][1] == tag:
-                        del self._stack[k:]
-                        break
+                if k := self._nearest((tag,)):
+                    self._cut(k)
                 continue
             if tag in ("html", "body"):
                 if tag == "body" and m[4]:
                     pass
                 continue
             if self._stack[-1][1] == "p":
-                self._stack.pop()
+                self._cut(len(self._stack) - 1)
             if tag in CLOSES:
                 own, fence = CLOSES[tag]
-                for k in range(len(self._stack) - 1, 0, -1):
-                    if self._stack[k][1] in fence:
-                        break
-                    if self._stack[k][1] in own:
-                        del self._stack[k:]
-                        break
+                if (k := self._nearest(own)) > self._nearest(fence):
+                    self._cut(k)
             i = self._add(BLOCKS[tag], self._stack[-1][0], m[4])
-            if tag not in VOID and len(self._stack) < 512:
-                self._stack.append((i, tag))
+            if tag not in VOID:
+                self._push(i, tag)
         if at < len(s):
             self._run.append(s[at:])
         self._flush()
