@@ -241,6 +241,17 @@ def test_html(spark, empty):
     assert op1_html.extracted(pages.limit(0))[0].count() == 0
 
 
+def test_near_dedup_of_rows_without_an_id(spark):
+    one, two, three = ("the quick brown fox jumps over the lazy dog", "some other text of a few words", "a third text that has no id at all")
+    rows = [(1, one, "a"), (None, one, "b"), (None, two, "c"), (None, two, "d"), (None, two, "e"), (None, three, "f"), (None, None, "g"), (None, "", "h"), (7, "an id and no copy of it here", "i")]
+    for more in ([], [(3, two, "j")]):
+        docs = spark.createDataFrame(rows + more, "doc_id bigint, text string, fp string")
+        kept = op10_simhash.near_dedup(docs)
+        got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=repr)
+        assert kept.columns == docs.columns
+        assert got == sorted([(1, one), (3, two) if more else (None, two), (None, three), (None, ""), (7, rows[-1][1])], key=repr)
+
+
 ARTICLE = "<article><h1>Title of it</h1><p>Some words are here, and more of them follow &amp; end.</p>{}<p>Another paragraph of the text, which is long enough.</p></article>"
 
 

@@ -27,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, shared_root, written
+from .common import ASCII_LOWER, append_arrow, fresh, shared_root, written
 
 SEED = 42
 BITS = 64
@@ -331,8 +332,8 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError("components: no end within the round limit")
 
 
-def simhash_components(docs: DataFrame, tau: int = TAU, bucket_cap: int = BUCKET_CAP, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint, component_id): one row per document, near-duplicate classes by smallest doc_id."""
+def _classes(docs: DataFrame, tau: int = TAU, bucket_cap: int = BUCKET_CAP, width: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each document, and (fp, component_id, root) of each fingerprint."""
     shared_root(docs.sparkSession)
     per_doc = written(fingerprints(docs, width), "fingerprints")
     per_fp = written(per_doc.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
@@ -340,24 +341,43 @@ def simhash_components(docs: DataFrame, tau: int = TAU, bucket_cap: int = BUCKET
     grouped = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     best = grouped.filter("root is not null").groupBy("root").agg(F.min("low").alias("least"))
     # Fingerprints without a link have no root; they are their own class and stay out of the join.
-    final = grouped.filter("root is not null").join(best, "root").select("fp", F.col("least").alias("component_id"))
-    final = written(final.union(grouped.filter("root is null").select("fp", "low")), "classes")
+    final = grouped.filter("root is not null").join(best, "root").select("fp", F.col("least").alias("component_id"), "root")
+    final = written(final.union(grouped.filter("root is null").select("fp", "low", "fp")), "classes")
+    return per_doc, final
+
+
+def simhash_components(docs: DataFrame, tau: int = TAU, bucket_cap: int = BUCKET_CAP, width: int = SHINGLE) -> DataFrame:
+    """(doc_id, fingerprint, component_id): one row per document, near-duplicate classes by smallest doc_id."""
+    per_doc, final = _classes(docs, tau, bucket_cap, width)
     return per_doc.join(final, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def near_dedup(docs: DataFrame, **how) -> DataFrame:
+def _one_each(rows: DataFrame, key: str) -> DataFrame:
+    """One of the ``rows`` for each ``key``, that with the smallest text; combined in the map task first."""
+    row = F.struct(*[c for c in rows.columns if c != key])
+    return rows.groupBy(key).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select(key, "row.*")
+
+
+def near_dedup(docs: DataFrame, width: int = SHINGLE, **how) -> DataFrame:
     """``docs`` with one document of each near-duplicate class: that with the smallest doc_id.
 
-    Rows with a null doc_id can't be named by a class and stay only where no other row of their
-    class has an id. Rows that repeat a doc_id count as one document.
+    Rows with a null doc_id can't be named by a class; where no row of their class has an id, one of
+    them stays, and else none. Rows that repeat a doc_id count as one document.
     """
-    classes = written(simhash_components(docs, **how), "classes")
+    per_doc, final = _classes(docs, width=width, **how)
+    classes = written(per_doc.join(final, "fp").select("doc_id", "component_id"), "classes")
     keep = classes.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
     keep = written(keep, "keep")
     out = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if not keep.filter("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
-    lost = classes.filter("doc_id is null and component_id is null")
-    return out if lost.isEmpty() else out.unionByName(docs.filter("doc_id is null"))
+    nameless = final.filter("component_id is null").select("fp", "root")
+    if nameless.isEmpty():
+        return out
+    fp, root = fresh(docs.columns, "fp"), fresh(docs.columns, "root")
+    marked = append_arrow(docs.filter("doc_id is null"), "text", [T.StructField(fp, T.LongType())], lambda texts: [pa.array(_signed(np.array([fingerprint(t, width) for t in texts], dtype=np.uint64)))])
+    # One for each fingerprint first: one that many rows share then does not weigh on the join.
+    some = _one_each(marked, fp).join(nameless.select(F.col("fp").alias(fp), F.col("root").alias(root)), fp).drop(fp)
+    return out.unionByName(_one_each(some, root).select(*docs.columns))
