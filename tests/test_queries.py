@@ -38,6 +38,12 @@ def test_kernel_queries_run(spark, name):
     assert kernel_queries.QUERIES[name](spark, DATA).limit(5).count() >= 0
 
 
+def test_boxes_of_all_windows(spark):
+    pairs = lambda name: {tuple(r) for r in QUERIES[name](spark, DATA).collect()}
+    some, every = pairs("box_overlap"), pairs("box_overlap_all")
+    assert some < every and {r for r in every if r[2] <= 2} == some
+
+
 def test_entry(spark):
     import __spark_entry__
 

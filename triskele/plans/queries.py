@@ -542,11 +542,21 @@ def merged_labels(spark, d):
     return read(spark, d, "events").groupBy("user_id").agg(R.merged_label(F.col("event_type"), "view").alias("label"))
 
 
-@query("""SELECT a.task, a.ordinal AS a, b.ordinal AS b FROM windows a JOIN windows b ON a.task = b.task AND b.ordinal <= 2 AND a.start_j <= b.end_j AND b.start_j <= a.end_j AND a.best <= b.best + 5 * b.support AND b.best <= a.best + 5 * a.support""")
-def box_overlap(spark, d):
+def _boxes(spark, d, second="true"):
     w = bound(spark, d, "windows")
     side = lambda p: w.select("task", F.col("ordinal").alias(p), F.col("start_j").alias(f"{p}_row0"), F.col("end_j").alias(f"{p}_row1"), F.col("best").alias(f"{p}_col0"), (F.col("best") + 5 * F.col("support")).alias(f"{p}_col1"))
-    return R.overlapping_boxes(side("a"), side("b").filter("b <= 2"), T).select("task", "a", "b")
+    return R.overlapping_boxes(side("a"), side("b").filter(second), T).select("task", "a", "b")
+
+
+@query("""SELECT a.task, a.ordinal AS a, b.ordinal AS b FROM windows a JOIN windows b ON a.task = b.task AND b.ordinal <= 2 AND a.start_j <= b.end_j AND b.start_j <= a.end_j AND a.best <= b.best + 5 * b.support AND b.best <= a.best + 5 * a.support""")
+def box_overlap(spark, d):
+    return _boxes(spark, d, "b <= 2")
+
+
+@query("""SELECT a.task, a.ordinal AS a, b.ordinal AS b FROM windows a JOIN windows b ON a.task = b.task AND a.start_j <= b.end_j AND b.start_j <= a.end_j AND a.best <= b.best + 5 * b.support AND b.best <= a.best + 5 * a.support""")
+def box_overlap_all(spark, d):
+    """Every overlapping pair; ``box_overlap`` has those whose second box is one of the first windows of its task."""
+    return _boxes(spark, d)
 
 
 @query("""WITH s AS (SELECT doc_id, length(text) AS n, CAST(ceil(length(text) / 256.0) * 256 AS BIGINT) AS shape FROM documents WHERE text IS NOT NULL), b AS (SELECT *, (row_number() OVER (PARTITION BY shape ORDER BY n, doc_id) - 1) // 32 AS batch FROM s)
