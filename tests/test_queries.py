@@ -44,6 +44,20 @@ def test_boxes_of_all_windows(spark):
     assert some < every and {r for r in every if r[2] <= 2} == some
 
 
+def test_thresholds_of_all_tasks(spark, monkeypatch):
+    from hashlib import md5
+
+    from triskele.kernels.threshold import threshold
+    from triskele.plans.search import SearchConfig, plan_tasks
+
+    seqs = spark.createDataFrame([(1, "GGAGGAAGAGCTTCCTTTGA")], "doc_id bigint, seq string")
+    monkeypatch.setattr(kernel_queries.Q, "dna", lambda spark, d: seqs)
+    targets = {r.target for r in plan_tasks(seqs, SearchConfig(cut=120, overlap=20)).select("target").collect()}
+    got = {r.h: r.least for r in kernel_queries.QUERIES["score_thresholds"](spark, DATA).collect()}
+    assert len(targets) > 2 and got == {md5(t.encode()).hexdigest(): threshold(kernel_queries.RNA, t, 500) for t in targets}
+    assert {r.rule for r in kernel_queries.QUERIES["exact_search"](spark, DATA).select("rule").collect()} <= set(range(19))
+
+
 def test_entry(spark):
     import __spark_entry__
 
