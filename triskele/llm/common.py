@@ -72,6 +72,23 @@ def fresh(taken, name: str) -> str:
     return name
 
 
+def split_by(df: DataFrame, key: str, keys: DataFrame, most_words: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``key`` is surely not among ``keys``, all others); no row is moved. ``keys``: one column, written.
+
+    A bitmap of 16 bits a key, but at most 64 * ``most_words`` bits (a broadcast of some 50 MB). Where
+    keys crowd it, more rows are among the others; the caller joins those exactly, so only the
+    shuffle of rows that need not move grows.
+    """
+    word, bits = (fresh([*df.columns, *keys.columns], c) for c in ("bitmap_word", "bitmap_bits"))
+    words = 1 << min(max(4, (keys.count() // 4).bit_length()), most_words.bit_length() - 1)
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(words * 64))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), spot(keys.columns[0]).bitwiseAND(F.lit(63)).cast("int"))
+    table = keys.select(F.shiftright(spot(keys.columns[0]), 6).alias(word), one.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    marked = df.withColumn(word, F.shiftright(spot(key), 6)).join(F.broadcast(written(table, "bitmap")), word, "left")
+    there = F.coalesce(F.call_function("getbit", F.col(bits), spot(key).bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    return marked.filter(~there).select(*df.columns), marked.filter(there).select(*df.columns)
+
+
 def append_arrow(df: DataFrame, column: str, fields, fn) -> DataFrame:
     """``df`` with ``fields`` appended; ``fn`` maps the values of ``column`` of an Arrow batch to their arrays.
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, append_arrow, fresh, shared_root, written
+from .common import ASCII_LOWER, append_arrow, fresh, shared_root, split_by, written
 
 SEED = 42
 BITS = 64
@@ -356,23 +356,24 @@ def simhash_components(docs: DataFrame, tau: int = TAU, bucket_cap: int = BUCKET
 
 def _one_each(rows: DataFrame, key: str) -> DataFrame:
     """One of the ``rows`` for each ``key``, that with the smallest text; combined in the map task first."""
-    row = F.struct(*[c for c in rows.columns if c != key])
-    return rows.groupBy(key).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select(key, "row.*")
+    cols = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*cols))).alias("row")).select(key, "row.*")
 
 
 def near_dedup(docs: DataFrame, width: int = SHINGLE, **how) -> DataFrame:
     """``docs`` with one document of each near-duplicate class: that with the smallest doc_id.
 
     Rows with a null doc_id can't be named by a class; where no row of their class has an id, one of
-    them stays, and else none. Rows that repeat a doc_id count as one document.
+    them stays, and else none. Rows that repeat a doc_id count as one document. Only texts that go or
+    repeat a doc_id are shuffled (and others that share their bits of a bitmap).
     """
     per_doc, final = _classes(docs, width=width, **how)
-    classes = written(per_doc.join(final, "fp").select("doc_id", "component_id"), "classes")
-    keep = classes.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    keep = written(keep, "keep")
-    out = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not keep.filter("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    named = docs.filter("doc_id is not null")
+    classes = per_doc.filter("doc_id is not null").join(final, "fp")
+    seen = classes.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    seen = written(seen.filter("not stays or n > 1"), "seen")
+    out, rest = split_by(named, "doc_id", seen.select("doc_id"))
+    out = out.unionByName(_one_each(rest, "doc_id").join(seen.filter("not stays").select("doc_id"), "doc_id", "left_anti").select(*docs.columns))
     nameless = final.filter("component_id is null").select("fp", "root")
     if nameless.isEmpty():
         return out
