@@ -5,19 +5,22 @@ the source's weight in the mix. Targets share the words of the corpus by weight;
 more than ``max_repeats`` times its words, and what it can't give is shared again by weight among
 the others (solved in closed form over sources sorted by limit / weight).
 
-Within a source, documents stand in the order of the md5 of their doc_id and are taken from the
-start, epoch after epoch, until the target is met. The middle of each taken stretch is a share of
-the source's cumulative demand; inverting the cumulative integral of its schedule gives the
-training position. Documents are then range-sorted by position.
+Within a source, documents stand in the order of a hash of their doc_id and text (their place) and
+are taken from the start, epoch after epoch, until the target is met. The middle of each taken
+stretch is a share of the source's cumulative demand; inverting the cumulative integral of its
+schedule gives the training position. Documents are then range-sorted by position.
 
-Running sums need no large group: words are summed by source and 4,096 hash buckets, bucket sums
-are accumulated, and only rows of one bucket are ordered together. Everything is DataFrame
-expressions.
+Running sums need no large group: rows alike in doc_id, source and text are counted together first,
+words are summed by source and hash bucket, bucket sums are accumulated, and only groups of one
+bucket are ordered together. Everything is DataFrame expressions.
+
+``mixture`` moves each text once, into the range sort: what it needs to place a text is the sums of
+its bucket and the place where its source's target is met, which are few rows whatever the input.
 
 Edge cases: null text has no words; the null source is a source of its own, last in order; words
 that are not there can't be taken, so a source of empty texts has target 0; rows that repeat a
-doc_id are separate documents with the same place in order; empty tables give empty results; extra
-columns don't matter (``mixture`` keeps them).
+doc_id are separate documents; empty tables give empty results; extra columns don't matter
+(``mixture`` keeps them).
 """
 
 from __future__ import annotations
@@ -30,7 +33,12 @@ from .common import fresh, written
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
 WEIGHTS = (1.0, 2.0, 3.0)
-BROADCAST_ROWS = 500_000
+#: Rows of a broadcast side, about 100 bytes each; a larger side is joined by shuffle.
+BROADCAST_ROWS = 1 << 19
+#: Hex digits of a place that make its bucket, at most.
+DIGITS = 3
+#: Rows alike that one task gives out again.
+CHUNK = 4096
 KNOT = "array<struct<t:double,w:double>>"
 
 
@@ -42,20 +50,32 @@ def default_schedule(rank):
     return F.array(knot(0.0, w * start), knot(1.0, w * (2.0 - start)))
 
 
+def place():
+    """Order of a document in its source: the md5 of its doc_id and its text's md5."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
+
+
+def words():
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def source_key():
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        "doc_id", F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("")).alias("place"),
-    ).withColumn("src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+    """One row per set of rows alike in doc_id, source and text: src, source, place, doc_id, size (of one), k (how many). Written, so texts are counted once."""
+    rows = docs.select(source_key().alias("src"), F.col("source").cast("string").alias("source"), place().alias("place"), "doc_id", words().alias("size"))
+    return written(rows.groupBy("src", "source", "place", "doc_id", "size").agg(F.count("*").alias("k")), "sizes")
 
 
 def targets(rows: DataFrame, schedules: DataFrame | None = None, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row per source: src, source_size, weight, target, segments (of the normalised cumulative schedule).
+    """One row per source of ``sized`` rows: src, source_size, weight, target, segments (of the normalised cumulative schedule).
 
     ``schedules``: (source, knots), knots ascending from t = 0 to t = 1; sources not in it get the default.
     """
-    s = rows.groupBy("src", "source").agg(F.sum("size").alias("source_size"))
+    s = rows.groupBy("src", "source").agg(F.sum(F.col("size") * F.col("k")).alias("source_size"))
     s = s.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     if schedules is not None:
         given = schedules.select(F.col("source"), F.col("knots").cast(KNOT).alias("knots"))
@@ -111,31 +131,54 @@ def position(share, segments, weight):
     return F.least(seg["t0"] + F.coalesce(F.try_divide(2.0 * q, seg["w0"] + root), F.lit(0.0)), F.lit(1.0))
 
 
-def plan(docs: DataFrame, schedules: DataFrame | None = None, max_repeats: int = MAX_REPEATS, cut_last: bool = True) -> DataFrame:
+def _small(side: DataFrame) -> DataFrame:
+    """``side``, written; to be broadcast if its rows are few enough."""
+    side = written(side, "mix-side")
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
+def _buckets(rows: DataFrame, digits: int) -> DataFrame:
+    """(src, bucket, base, n): words of each bucket of a source, and of the buckets before it."""
+    sums = rows.groupBy("src", F.substring("place", 1, digits).alias("bucket")).agg(F.sum(F.col("size") * F.col("k")).alias("n"))
+    before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def _starts(rows: DataFrame, bases: DataFrame, digits: int) -> DataFrame:
+    """``rows`` with base and start: the words of the source before each set of rows."""
+    inside = Window.partitionBy("src", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("bucket", F.substring("place", 1, digits)).join(bases.select("src", "bucket", "base"), ["src", "bucket"])
+    return rows.withColumn("start", F.col("base") + F.coalesce(F.sum(F.col("size") * F.col("k")).over(inside), F.lit(0)))
+
+
+def _one_by_one(sets: DataFrame) -> DataFrame:
+    """``sets`` with one row for each of their ``k`` rows, numbered ``i``; large sets are dealt out in chunks."""
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i")
+    few = sets.filter(F.col("k") <= CHUNK).select("*", step)
+    chunks = sets.filter(F.col("k") > CHUNK).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1, F.lit(CHUNK).cast("long"))).alias("lo"))
+    chunks = chunks.repartition(F.col("place"), F.col("lo"))
+    many = chunks.select("*", F.explode(F.sequence("lo", F.least(F.col("lo") + CHUNK, F.col("k")) - 1)).alias("i")).drop("lo")
+    return few.unionByName(many)
+
+
+def plan(docs: DataFrame, schedules: DataFrame | None = None, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies.
 
-    copies: array of (words, position), one entry for each time the document is taken. With
-    ``cut_last`` the last document of a source may be taken in part, so that the words taken equal
-    the target rounded; without, only whole documents are taken, those whose middle lies before
-    the target.
+    copies: array of (words, position), one entry for each time the document is taken. The last
+    document of a source may be taken in part, so that the words taken equal the target rounded.
     """
-    rows = sized(docs).withColumn("bucket", F.substring("place", 1, 3))
+    rows = sized(docs)
     t = targets(rows, schedules, max_repeats)
-    sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
-    by_source = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("base", F.coalesce(F.sum("n").over(by_source), F.lit(0))).join(t, "src").drop("n")
-    inside = Window.partitionBy("src", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(bases, ["src", "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    sets = _starts(rows, _buckets(rows, DIGITS), DIGITS).join(t, "src")
+    # Sets of more than one row are few or large: they are dealt out from a table, so that nothing before is done twice.
+    placed = _one_by_one(written(sets, "places")).withColumn("start", F.col("start") + F.col("i") * F.col("size"))
     want, size, total = F.round("target").cast("long"), F.col("size"), F.col("source_size")
 
     def copy(e):
         at = F.col("start") + e * total
-        if cut_last:
-            words = F.greatest(F.least(size, want - at), F.lit(0).cast("long"))
-        else:
-            words = F.when(2.0 * at + size <= 2.0 * F.col("target"), size).otherwise(0).cast("long")
-        share = F.least((at + words / 2.0) / F.col("target"), F.lit(1.0))
-        return F.struct(words.alias("words"), F.when(words > 0, position(share, F.col("segments"), F.col("weight"))).alias("position"))
+        taken = F.greatest(F.least(size, want - at), F.lit(0).cast("long"))
+        share = F.least((at + taken / 2.0) / F.col("target"), F.lit(1.0))
+        return F.struct(taken.alias("words"), F.when(taken > 0, position(share, F.col("segments"), F.col("weight"))).alias("position"))
 
     copies = F.filter(F.array(*[copy(F.lit(e).cast("long")) for e in range(max_repeats)]), lambda c: c["words"] > 0)
     return placed.withColumn("copies", copies).select(
@@ -152,34 +195,80 @@ def ordered_plan(docs: DataFrame, **how) -> DataFrame:
     )
 
 
-def mixture(docs: DataFrame, **how) -> DataFrame:
+def cuts(rows: DataFrame, t: DataFrame, bases: DataFrame, digits: int) -> DataFrame:
+    """Per source: target, source_size, weight, segments, full, cut_place, tie_place, tie_take.
+
+    Whole documents are taken, those whose middle lies before the target: ``full`` epochs of all,
+    then the documents up to ``cut_place``, and ``tie_take`` of the rows alike at ``tie_place``. Only
+    the bucket in which the target is met is ordered.
+    """
+    t = t.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    t = t.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
+    met = bases.join(t.select("src", "rest"), "src").filter((F.col("base") <= F.col("rest")) & (F.col("rest") < F.col("base") + F.col("n"))).select("src", "bucket", "base", "rest")
+    inside = rows.filter("size > 0").withColumn("bucket", F.substring("place", 1, digits)).join(_small(met), ["src", "bucket"])
+    before = Window.partitionBy("src").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("start", F.col("base") + F.coalesce(F.sum(F.col("size") * F.col("k")).over(before), F.lit(0)))
+    take = F.least(F.greatest(F.floor((F.col("rest") - F.col("start")) / F.col("size") + 0.5), F.lit(0)), F.col("k")).cast("long")
+    ends = inside.withColumn("take", take).groupBy("src").agg(
+        F.min("bucket").alias("met"), F.max(F.when(F.col("take") == F.col("k"), F.col("place"))).alias("last"),
+        F.max(F.when((F.col("take") > 0) & (F.col("take") < F.col("k")), F.struct("place", "take"))).alias("tie"),
+    )
+    return t.join(ends, "src", "left").select(
+        "src", "target", "source_size", "weight", "segments", "full", F.coalesce("last", "met", F.lit("")).alias("cut_place"),
+        F.col("tie.place").alias("tie_place"), F.col("tie.take").alias("tie_take"),
+    )
+
+
+def mixture(docs: DataFrame, schedules: DataFrame | None = None, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """``docs`` as the mix takes them, whole, once per copy, range-sorted by training position.
 
-    Wordless documents weigh nothing and stay, once, at position 0. Rows that share a doc_id and a
-    source are matched by their size as well; rows alike in all three are taken alike.
+    Demand before a document is read off the sums of its hash bucket, by the document's share of the
+    bucket's hash range. Wordless documents weigh nothing and stay, once, at position 0. Of rows
+    alike in doc_id, source and text at the target, as many are taken as fit, in the order of their
+    columns.
     """
     cols, names = docs.columns, []
-    for n in ("mix_id", "mix_source", "mix_size", "mix_position"):
+    for n in ("mix_src", "mix_bucket", "mix_place", "mix_position", "mix_row", "mix_cut", "mix_base"):
         names.append(fresh([*cols, *names], n))
-    i, s, z, p = names
-    own = plan(docs, cut_last=False, **how)
-    takes = own.groupBy("doc_id", "source", "size").agg(F.first("copies").alias("copies")).filter((F.size("copies") > 0) | (F.col("size") == 0))
-    takes = takes.select(
-        F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(z),
-        F.explode(F.when(F.size("copies") > 0, F.transform("copies", lambda c: c["position"])).otherwise(F.array(F.lit(0.0)))).alias(p),
-    )
-    takes = written(takes, "takes")
-    if takes.count() <= BROADCAST_ROWS:  # about 50 MB; beyond, texts are shuffled to their takes before the range sort
-        takes = F.broadcast(takes)
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    match = docs["doc_id"].eqNullSafe(takes[i]) & docs["source"].cast("string").eqNullSafe(takes[s]) & (size == takes[z])
-    return docs.join(takes, match).repartitionByRange(F.col(p), F.col("doc_id")).sortWithinPartitions(p, "doc_id").select(*cols)
+    src, bucket, at, pos, row, at_s, at_b = names
+    rows = sized(docs)
+    t = written(targets(rows, schedules, max_repeats), "targets")
+    n = t.count()
+    digits = max(d for d in range(DIGITS + 1) if d == 0 or n * 16**d <= BROADCAST_ROWS)
+    bases = _small(_buckets(rows, digits))
+    ends = _small(cuts(rows, t, bases, digits))
+    per_source = ends.select(F.col("src").alias(src), F.struct(*[c for c in ends.columns if c != "src"]).alias(at_s))
+    per_bucket = bases.select(F.col("src").alias(src), F.col("bucket").alias(bucket), F.struct("base", "n").alias(at_b))
+    out = docs.withColumns({src: source_key(), at: place()}).withColumn(bucket, F.substring(at, 1, digits))
+    out = out.join(per_source, src).join(per_bucket, [src, bucket])
+    S, B = F.col(at_s), F.col(at_b)
+    within = F.conv(F.substring(at, digits + 1, 12), 16, 10).cast("double") / float(16**12)
+    demand = B["base"] + B["n"] * within
+    worded = F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+
+    def positions(epochs):
+        e = F.transform(epochs, lambda k: position(F.least((k * S["source_size"] + demand) / S["target"], F.lit(1.0)), S["segments"], S["weight"]))
+        return F.when(worded, e).otherwise(F.array(F.lit(0.0)))
+
+    upto = S["full"] + F.when(F.col(at) <= S["cut_place"], 1).otherwise(0)
+    epochs = F.when(upto > 0, F.sequence(F.lit(0).cast("long"), upto - 1)).otherwise(F.array().cast("array<bigint>"))
+    every = out.withColumn(pos, F.explode(positions(epochs)))
+    ties = out.filter(worded & (F.col(at) == S["tie_place"]))
+    if not ends.filter("tie_place is not null").isEmpty():
+        alike = ties.groupBy(*out.columns).agg(F.count("*").alias(row))
+        before = Window.partitionBy(src, at).orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+        left = F.greatest(F.least(S["tie_take"] - F.coalesce(F.sum(row).over(before), F.lit(0)), F.col(row)), F.lit(0))
+        more = alike.withColumn(row, left).filter(F.col(row) > 0).withColumn(pos, F.explode(positions(F.array(S["full"]))))
+        every = every.unionByName(more.withColumn(row, F.explode(F.sequence(F.lit(1).cast("long"), F.col(row)))).drop(row))
+    # Rows alike in position and doc_id are dealt to several partitions by their number.
+    every = every.withColumn(row, F.monotonically_increasing_id())
+    return every.repartitionByRange(F.col(pos), F.col("doc_id"), F.col(row)).sortWithinPartitions(pos, "doc_id").select(*cols)
 
 
 SQL = r"""
 WITH r AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(CAST(doc_id AS VARCHAR)) AS place
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS place
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rnk FROM r GROUP BY source),
 w AS (SELECT *, ((rnk - 1) % 3 + 1)::DOUBLE AS weight, 3 * source_size AS cap FROM s),
