@@ -31,12 +31,17 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_mix.ordered_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op4_extendible_sharding(spark: SparkSession, sf_dir: str, limit: int = op4_shard.LIMIT) -> DataFrame:
     shared_root(spark)
-    out, names = op4_shard.sharded(table(spark, sf_dir, "documents"))
+    out, names = op4_shard.sharded(table(spark, sf_dir, "documents"), limit)
     return out.select("doc_id", *[F.col(names[n]).alias(n) for n in ("shard", "shard_depth", "shard_bytes", "shard_docs")])
 
 
+def op4_small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with shards of 64 KiB, so that small tables split too."""
+    return op4_extendible_sharding(spark, sf_dir, 64 << 10)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_tokens.token_output(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -70,12 +75,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-SQL = {"op2_grace_exact_dedup": op2_exact_dedup.SQL, "op7_warc_round_trip": op7_warc.SQL, "op3_curriculum_mix": op3_mix.SQL, "op4_extendible_sharding": op4_shard.sql(), "op8_decontamination": op8_decontaminate.sql()}
+SQL = {"op2_grace_exact_dedup": op2_exact_dedup.SQL, "op7_warc_round_trip": op7_warc.SQL, "op3_curriculum_mix": op3_mix.SQL, "op4_extendible_sharding": op4_shard.sql(), "op4_small_shards": op4_shard.sql(64 << 10), "op8_decontamination": op8_decontaminate.sql()}
 
 
 def queries():
     every = (
-        op1_html_extraction, op2_grace_exact_dedup, op3_curriculum_mix, op4_extendible_sharding, op5_token_output, op6_language_id,
+        op1_html_extraction, op2_grace_exact_dedup, op3_curriculum_mix, op4_extendible_sharding, op4_small_shards, op5_token_output, op6_language_id,
         op7_warc_round_trip, op8_decontamination, op9_toxicity_scores, op10_simhash_near_dedup,
     )
     return {f.__name__: f for f in every}
