@@ -13,9 +13,10 @@ kept inside a dropped ancestor and no ancestor dropped around a kept leaf.
 Text of a kept leaf has its character references decoded and its white space turned into single
 blanks; leaves are joined in page order by an empty line.
 
-Edge cases: null or empty html, and pages without main text, give an empty text; broken nesting,
-unclosed tags, quotes and truncated pages are parsed as far as they go; repeated rows give repeated
-results; an empty table gives an empty result; extra columns are kept.
+Edge cases: null or empty html, and pages without main text, give an empty text; broken nesting is
+closed at the nearest open element of that name; unclosed tags, quotes and dropped elements end as
+``tags`` states; pages of any size, nesting and attributes of any length are read in one pass;
+repeated rows give repeated results; an empty table gives an empty result; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -32,14 +33,13 @@ from pyspark.sql import types as T
 from .common import append_arrow, fresh
 from .gbt import BoostedTrees
 
-DROPPED = "script|style|noscript|template|svg|math|canvas|iframe|object|head|title|select|textarea|audio|video"
-#: Of any length; possessive, as no part can be read in two ways.
-ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({DROPPED})(?=[\s/>]){ATTRIBUTES}>(?:.*?</\1\s*>|.*\Z)?"
-    rf"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>",
-    re.S | re.I,
-)
+#: Elements never rendered as main text; the first of them hold no markup.
+RAW = "script style textarea title iframe noscript xmp"
+DROPPED = set(f"{RAW} template svg math canvas object head select audio video".split())
+#: A quote opens a value only after an equals sign; possessive, as no part can be read in two ways.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>")
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+MARK = re.compile(rf"<(/?)({'|'.join(sorted(DROPPED))}|body)(?=[\s/>])", re.I)
 BLOCKS = {
     tag: kind
     for kind, tags in {
@@ -138,50 +138,109 @@ class Page:
     def _parse(self, s: str) -> None:
         self._stack.append((self._add("page", -1), ""))
         at, in_link = 0, False
-        for m in TOKEN.finditer(s):
-            if m.start() > at:
-                piece = s[at : m.start()]
+        for start, end, name, closing, attrs in tags(s):
+            if start > at:
+                piece = s[at:start]
                 self._run.append(piece)
                 if in_link:
                     self._link_chars += len(piece.strip())
-            at = m.end()
-            tag = m[3]
-            if tag is None:
+            at = end
+            if name is None:
                 continue
-            tag = tag.lower()
-            if tag not in BLOCKS:
-                if tag == "br":
+            if name not in BLOCKS:
+                if name == "br":
                     self._run.append(" ")
-                elif tag == "a":
-                    in_link = not m[2]
-                elif tag in _CONTROLS and not m[2]:
+                elif name == "a":
+                    in_link = not closing
+                elif name in _CONTROLS and not closing:
                     self.controls[self._stack[-1][0]] += 1
                 self._inline += 1
                 continue
             self._flush()
             in_link = False
-            if m[2]:
-                if k := self._nearest((tag,)):
+            if closing:
+                if k := self._nearest((name,)):
                     self._cut(k)
                 continue
-            if tag in ("html", "body"):
-                if tag == "body" and m[4]:
-                    pass
+            if name in ("html", "body"):
                 continue
             if self._stack[-1][1] == "p":
                 self._cut(len(self._stack) - 1)
-            if tag in CLOSES:
-                own, fence = CLOSES[tag]
+            if name in CLOSES:
+                own, fence = CLOSES[name]
                 if (k := self._nearest(own)) > self._nearest(fence):
                     self._cut(k)
-            i = self._add(BLOCKS[tag], self._stack[-1][0], m[4])
-            if tag not in VOID:
-                self._push(i, tag)
+            i = self._add(BLOCKS[name], self._stack[-1][0], attrs)
+            if name not in VOID:
+                self._push(i, name)
         if at < len(s):
             self._run.append(s[at:])
         self._flush()
 
 
+def _ends(s: str) -> dict[int, int]:
+    """Start of each dropped element that is closed, to the start of its end tag; a head also ends where the body starts."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in MARK.finditer(s):
+        name = m[2].lower()
+        if name == "body":
+            if not m[1]:
+                out.update((k, m.start()) for k in open_.pop("head", ()))
+        elif not m[1]:
+            open_.setdefault(name, []).append(m.start())
+        elif open_.get(name):
+            out[open_[name].pop()] = m.start()
+            if name in RAW.split():  # what looks like a tag inside is text
+                for k in open_.pop(name):
+                    out[k] = m.start()
+    return out
+
+
+def tags(s: str):
+    """(start, end, name, closing, attributes) of every tag, in one pass; name is None where markup from start to end holds no text.
+
+    Comments, declarations and dropped elements are passed over whole. A dropped element that is
+    never closed ends with its own tag, but for scripts and styles, which go on to the end of the
+    page, as comments do. A tag that is never closed runs to the end of the page; if only a quote in
+    it is unclosed, that quote and later ones are read as plain characters.
+    """
+    ends, at, quotes, last = _ends(s), 0, True, s.rfind(">")
+    while (lt := s.find("<", at)) >= 0:
+        if s.startswith("<!--", lt):
+            end = lt + 5 if s.startswith(">", lt + 4) else s.find("-->", lt + 4) + 3
+            yield lt, (at := end if end > 2 else len(s)), None, False, ""
+            continue
+        m = OPEN.match(s, lt)
+        if not m:
+            if s[lt + 1 : lt + 2] not in ("!", "?", "/"):
+                at = lt + 1
+                continue
+            end = s.find(">", lt) + 1
+            yield lt, (at := end or len(s)), None, False, ""
+            continue
+        if lt > last:
+            yield lt, len(s), None, False, ""
+            return
+        full = TAG.match(s, lt) if quotes else None
+        if full:
+            end, attrs = full.end(), full[3]
+        else:
+            quotes, end = False, s.find(">", m.end()) + 1
+            attrs = s[m.end() : end - 1]
+        name, closing = m[2].lower(), bool(m[1])
+        at = end
+        if closing or name not in DROPPED:
+            yield (lt, end, None, False, "") if name in DROPPED else (lt, end, name, closing, attrs)
+            continue
+        stop = ends.get(lt)
+        if stop is not None and stop >= end:
+            at = stop if s.startswith("<b", stop) or s.startswith("<B", stop) else s.find(">", stop) + 1 or len(s)
+        elif name in ("script", "style"):
+            at = len(s)
+        yield lt, at, None, False, ""
+
+
 _END = re.compile(r"[.!?…:]['\"»”)]?\Z")
 
 
