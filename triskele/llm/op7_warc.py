@@ -9,8 +9,10 @@ from its verified entry. Magic inside a payload is never reached, since no chain
 start leads to it.
 
 Writing: one record per page; a payload of at least ``least`` bytes that equals that of a page with
-a smaller page_id becomes a revisit of the smallest. Files are written under a temporary name and
-moved, so that a task that runs again replaces its own output.
+a smaller page_id becomes a revisit of the smallest. Payloads that a bitmap shows to be unrepeated
+are written where they are read. Of the others, digests and ids are joined without the payloads;
+then only the payloads that are written move, one for a group of equal ones. Files are written under
+a temporary name and moved, so that a task that runs again replaces its own output.
 
 Edge cases: a null html is an empty payload; a null url has no target header; rows that share the
 smallest page_id of a payload are all responses; a null page_id is a response only where no row with
@@ -31,12 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, scratch, shared_root, task_id, written
+from .common import filesystem, scratch, shared_root, split_by, task_id, written
 
 BLOCK = 16 << 20
 #: How much is read at first for a header; reads grow until its blank line is found.
 HEADER = 64 << 10
-BROADCAST_ROWS = 500_000
 LEAST = 100
 BLANK = b"\r\n\r\n"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
@@ -47,13 +48,14 @@ _FIELD = re.compile(rb"\r\n([A-Za-z-]+):[ \t]*([^\r\n]*)")
 # ---------------------------------------------------------------- writing
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool) -> bytes:
-    """One WARC/1.1 record; a revisit has no payload."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool, length: int | None = None) -> bytes:
+    """One WARC/1.1 record; a revisit has no payload, but its ``length``."""
+    length = len(payload) if length is None else length
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
     block = http if revisit else http + payload
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}",
+        "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {length}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if url is not None:
@@ -63,22 +65,37 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool)
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def with_roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """page_id, url, payload, digest, n, refers_to: one row per page; a revisit (refers_to is not null) has no payload."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"),
+        F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("n"),
+    )
+    none = F.lit(None).cast("long").alias("refers_to")
+    same = rows.select("page_id", "digest", "n").filter(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("k"))
+    same = written(same.filter("k > 1").select("digest", "first"), "repeats")
+    alone, others = split_by(rows, "digest", same.select("digest"))
+    later = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
+    small = others.select("page_id", "url", "digest", "n").join(same, "digest", "left").withColumn("later", later)
+    small = written(small, "roles")
+    revisits = small.filter("later").select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "digest", "n", F.col("first").alias("refers_to"))
+    # The payloads of the other rows: found by digest and page_id, those of revisits stay behind.
+    key = lambda: F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("digest"))
+    wanted = written(small.filter("not later").select(key().alias("key")).distinct(), "wanted")
+    _, near = split_by(others.withColumn("key", key()), "key", wanted)
+    firsts = near.join(wanted, "key", "left_semi")
+    cols = ["page_id", "url", "payload", "digest", "n"]
+    return alone.select(*cols, none).unionByName(revisits).unionByName(firsts.select(*cols, none))
+
+
 def write_warc(pages: DataFrame, folder: str | None = None, least: int = LEAST) -> DataFrame:
     """Write ``pages`` (page_id, url, html); returns (file, size) of the archives, below ``folder``."""
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
     fs, base = filesystem(folder)
     fs.create_dir(base)
-    html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"), F.sha2(html, 256).alias("digest"))
-    same = (
-        pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n"))
-        .filter(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    )
-    same = written(same, "repeats")
-    if same.count() <= BROADCAST_ROWS:  # about 50 MB; beyond, pages are shuffled by digest
-        same = F.broadcast(same)
-    rows = rows.join(same, "digest", "left").select("page_id", "url", "payload", "digest", "first")
+    rows = with_roles(pages, least)
 
     def write(batches):
         fs, base = filesystem(folder)
@@ -86,10 +103,9 @@ def write_warc(pages: DataFrame, folder: str | None = None, least: int = LEAST)
         out, size, temp = None, 0, f"{base}/.{name}-{uuid.uuid4().hex}"
         for b in batches:
             for i in range(b.num_rows):
-                page, url, payload, digest, first = (b.column(k)[i].as_py() for k in range(5))
-                revisit = first is not None and (page is None or page > first)
+                page, url, payload, digest, n, first = (b.column(k)[i].as_py() for k in range(6))
                 out = out or fs.open_output_stream(temp, compression=None)
-                x = record(page, url, payload, digest, first, revisit)
+                x = record(page, url, payload, digest, first, first is not None, n)
                 out.write(x)
                 size += len(x)
         if out is not None:
