@@ -7,8 +7,9 @@ the search window: a shift above 0 skips positions where no pattern of the group
 of 0 leads to the patterns with that ending and beginning (suffix and prefix hash), which are
 compared byte by byte. The search advances thousands of cursors over a batch of texts at once.
 
-The benchmark is read in blocks of ``block_bytes`` of text, one broadcast and one pass over the
-documents each, so a benchmark of any size is handled.
+The benchmark is read in blocks of ``block_bytes`` of text, each broadcast. A task searches a group of
+texts for one block after the other, with one block's tables in memory at a time, so a benchmark of
+any size is handled in one pass over the documents.
 
 Edge cases: null or wordless texts have no words and are not hit; wordless items have no window;
 repeated items with one item_id count once; an item with null item_id counts under the empty name;
@@ -17,18 +18,22 @@ an empty benchmark hits nothing. No shuffle takes place and no row is moved.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, append_arrow, fresh, written
+from .common import LOWER, UPPER, fresh
 
 WINDOW = 13
 BLOCK_BYTES = 2 << 20
 SEGMENT = 1024
 BATCH_BYTES = 4 << 20
+#: Text searched for one block before the next block is loaded, where there are several.
+GROUP_BYTES = 48 << 20
 _KEEP = frozenset(b"0123456789" + LOWER) | frozenset(range(0x80, 0x100))
 #: Lower-cases A-Z and turns every byte outside words into a space.
 WORDS = bytes.maketrans(UPPER, LOWER).translate(bytes(c if c in _KEEP else 32 for c in range(256)))
@@ -175,40 +180,50 @@ _ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int6
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
     """``docs`` with a struct appended, and that column's name: n_words, spans (word ranges hit, end excluded), items (sorted)."""
-    spark, name = docs.sparkSession, None
-    own = docs.columns
-    out, passes = docs, []
-    for rows in _blocks(benchmark, block_bytes):
-        held = spark.sparkContext.broadcast(Matcher(rows, window))
-        if passes:
-            out = written(out, "decontaminate")
-        name = fresh(out.columns, "found")
-        passes.append(name)
-
-        def run(texts, held=held):
-            got = held.value.scan(texts)
-            return [pa.array([{"n_words": n, "spans": merged(r), "items": sorted(s)} for n, r, s in got], _ARROW)]
-
-        out = append_arrow(out, "text", [T.StructField(name, FOUND)], run)
-    if not passes:
-        held = spark.sparkContext.broadcast(Matcher([], window))
-        passes = [name := fresh(out.columns, "found")]
-        out = append_arrow(out, "text", [T.StructField(name, FOUND)], lambda texts: [pa.array([{"n_words": n, "spans": [], "items": []} for n, _, _ in held.value.scan(texts)], _ARROW)])
-    if len(passes) > 1:
-        name = fresh(out.columns, "found")
-
-        def fold(acc, x):
-            a, b = x[0], x[1]
-            last = F.element_at(acc, -1)
-            joins = (F.size(acc) > 0) & (a <= F.coalesce(F.get(F.get(acc, F.size(acc) - 1), F.lit(1)), F.lit(-1)))
-            return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(last[0], F.greatest(last[1], b))))).otherwise(F.concat(acc, F.array(F.array(a, b))))
-
-        spans = F.array_sort(F.concat(*[F.col(p)["spans"] for p in passes]))
-        items = F.array_sort(F.array_distinct(F.concat(*[F.col(p)["items"] for p in passes])))
-        out = out.withColumn(
-            name, F.struct(F.col(passes[0])["n_words"].alias("n_words"), F.aggregate(spans, F.array().cast(SPANS), fold).alias("spans"), items.alias("items"))
-        ).select(*own, name)
-    return out, name
+    context, name = docs.sparkSession.sparkContext, fresh(docs.columns, "found")
+    held = [context.broadcast(pickle.dumps(Matcher(rows, window), pickle.HIGHEST_PROTOCOL)) for rows in _blocks(benchmark, block_bytes)]
+    held = held or [context.broadcast(pickle.dumps(Matcher([], window)))]
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, FOUND)])
+    at = docs.columns.index("text")
+
+    def search(parts):
+        texts = [t for _, ts in parts for t in ts]
+        counts, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+        for h in held:
+            for k, (n, r, s) in enumerate(matcher(h).scan(texts)):
+                counts[k] = n
+                spans[k] += r
+                items[k] |= s
+        found = [{"n_words": n, "spans": merged(r), "items": sorted(s)} for n, r, s in zip(counts, spans, items)]
+        for part, ts in parts:
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found[: len(ts)], _ARROW)], schema.names)
+            found = found[len(ts) :]
+
+    last: list = [None, None]
+
+    def matcher(h):
+        if last[0] is not h:
+            last[:] = [None, None]  # one at a time
+            last[:] = [h, pickle.loads(h.value)]
+            if len(held) > 1:
+                vars(h).pop("_value", None)  # read again from the worker's file when its turn comes
+        return last[1]
+
+    def run(batches):
+        parts, size, enough = [], 0, GROUP_BYTES if len(held) > 1 else 0
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                texts = part.column(at).to_pylist()
+                parts.append((part, texts))
+                size += sum(len(t) for t in texts if t)
+                if size >= enough:
+                    yield from search(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from search(parts)
+
+    return docs.mapInArrow(run, schema), name
 
 
 def hit_words(found: str):
