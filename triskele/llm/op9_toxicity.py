@@ -1,14 +1,23 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary texts, one on windows of toxic texts that are
-significantly more frequent there (likelihood-ratio test on document frequencies). A window (one
-word by default) is compressed with either; how many bytes the toxic dictionary saves is its
-distance. A text's margin is its largest distance plus one for each of up to four further windows at
-or above the hit threshold. Margins are calibrated on labelled texts kept apart from the dictionaries, by
-monotone regression, to the probability of the toxic label.
-
-At most ``docs_per_label`` texts a label, chosen by hash, are learned from (a parameter), and of near
-copies among them only one. Equal windows are compressed once per worker while they are remembered.
+Two zstandard dictionaries are trained: one on ordinary texts, one on windows of toxic texts. Which
+windows those are is itself decided by compression: toxic texts are cut into halves, a dictionary is
+trained on either, and the windows of the other half are kept that it compresses so much better than
+the ordinary dictionary does as ordinary windows rarely are; the kept windows train the halves'
+next dictionaries, and after the last round the toxic one. What toxic text has in common with
+ordinary text cancels out: the toxic dictionary's content stands before all of the ordinary one's,
+with the ordinary one's entropy tables, and ordinary windows that it still shortens join the content
+of both (hard negatives).
+
+A text is cut into windows of ``WINDOW_WORDS`` words that cover all of it; each is compressed with
+either dictionary, and how many bytes the toxic one saves is the window's distance. How often ordinary
+windows reach a distance is counted on texts kept apart from the dictionaries. A text's margin says
+how unlikely as many windows at or above a distance are in an ordinary text of its length (the least
+likely distance from ``HIT`` on, by the Chernoff bound of a Poisson count). Margins are calibrated on
+the same labelled texts, by monotone regression, to the probability of the toxic label.
+
+At most ``docs_per_label`` texts a label, chosen by hash, and ``sample_bytes`` bytes of text are learned
+from (parameters), and of near copies among them (verified on three-word shingles) only one.
 
 Edge cases: null and wordless texts have the lowest margin; without both labels in the sample every
 text scores the share of toxic labels (0 if there are none); repeated rows score alike; rows with a
@@ -31,55 +40,90 @@ from pyspark.sql import types as T
 
 from .common import append_arrow, fresh
 
-DOCS_PER_LABEL = {0: 9000, 1: 3000}
-WINDOW_WORDS = 1
+DOCS_PER_LABEL = {0: 4000, 1: 3000}
+SAMPLE_BYTES = 64 << 20
+WINDOW_WORDS = 4
 TOXIC_BYTES = 4096
-ORDINARY_BYTES = 32768
-HIT = 4
-LOWEST = -9.0
-MEMO = 300_000
+HALF_BYTES = 32768
+ORDINARY_BYTES = 49152
+HARD_BYTES = 32768
+ROUNDS = 2
+HIT = 3
+LOWEST = -1.0
+FARTHEST = 40
+#: How many times rarer each further byte is taken to be where no ordinary window reaches it.
+RARER = 2.5
 #: In front of each window, so that the compressed block is never stored raw.
 CARRIER = b"~" * 40 + b" "
+#: The end of a trained dictionary's tables: the three first repeated offsets of the format.
+_OFFSETS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
 _SPLIT = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
 
-def windows(text: str | None, width: int = WINDOW_WORDS) -> set[bytes]:
-    """The distinct windows of ``width`` consecutive lower-case words (the whole text if it is shorter)."""
-    words = text.lower().encode("utf-8", "surrogatepass").translate(_SPLIT).split() if text else []
-    if width == 1 or not words:
-        return set(words)
-    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+def words(text: str | None) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").translate(_SPLIT).split() if text else []
+
 
+def windows(ws: list[bytes], width: int, stride: int) -> list[bytes]:
+    """Windows of ``width`` words, ``stride`` apart, that cover all words; the last may be shorter."""
+    return [b" " + b" ".join(ws[i : i + width]) + b" " for i in range(0, max(1, len(ws) - width + stride) if ws else 0, stride)]
 
-def sketch(text: str) -> list[int]:
-    """Four minimum hashes of the text's three-word shingles: near copies share one of them almost surely."""
-    words = text.lower().encode("utf-8", "surrogatepass").translate(_SPLIT).split()
-    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64, len(shingles))
-    return [int((((h ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) ^ (h >> np.uint64(7 + k))).min()) for k in range(4)]
 
+def shingles(ws: list[bytes]) -> np.ndarray:
+    """The distinct hashes of the three-word shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(ws[i : i + 3])) for i in range(max(1, len(ws) - 2))], dtype=np.uint64))
 
-def _likelihood_ratio(a: int, b: int, n1: int, n0: int) -> float:
-    p = (a + b) / (n1 + n0)
 
-    def ll(k, n, q):
-        q = min(max(q, 1e-12), 1 - 1e-12)
-        return k * math.log(q) + (n - k) * math.log(1 - q)
+class Copies:
+    """Tells whether a text is a near copy (half of all shingles in common) of one seen before."""
 
-    return 2 * (ll(a, n1, a / n1) + ll(b, n0, b / n0) - ll(a, n1, p) - ll(b, n0, p))
+    def __init__(self):
+        self.by_mark: dict[int, list[int]] = {}
+        self.seen: list[np.ndarray] = []
 
+    def add(self, ws: list[bytes]) -> bool:
+        h = shingles(ws)
+        marks = [int((((h ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) ^ (h >> np.uint64(7 + k))).min()) for k in range(4)]
+        for other in {i for m in marks for i in self.by_mark.get(m, ())}:
+            common = len(np.intersect1d(h, self.seen[other], assume_unique=True))
+            if 2 * common >= len(h) + len(self.seen[other]) - common:
+                return True
+        for m in marks:
+            self.by_mark.setdefault(m, []).append(len(self.seen))
+        self.seen.append(h)
+        return False
 
-def _trained(size: int, samples: list[bytes]) -> tuple[bytes, bool]:
-    """(dictionary, whether zstandard could train it; else the samples' tail, to be used as raw content)."""
+
+def _trained(size: int, samples: list[bytes]) -> tuple[bytes, bytes]:
+    """(entropy tables, content) of a dictionary; no tables and the samples' tail where they are too few to train on."""
     try:
-        return zstd.train_dictionary(size, samples).as_bytes(), True
-    except zstd.ZstdError:
-        return (b" " + b" ".join(samples))[-size:], False
+        data = zstd.train_dictionary(size, samples).as_bytes()
+        at = data.index(_OFFSETS) + len(_OFFSETS)
+        return data[:at], data[at:]
+    except (zstd.ZstdError, ValueError):
+        return b"", b"".join(samples)[-size:]
+
+
+def _compressor(tables: bytes, content: bytes):
+    par = zstd.ZstdCompressionParameters.from_level(
+        9, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, strategy=zstd.STRATEGY_BTOPT, window_log=18, hash_log=17, chain_log=17, target_length=64
+    )
+    d = zstd.ZstdCompressionDict(tables + content, dict_type=zstd.DICT_TYPE_FULLDICT if tables else zstd.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=par)
+    made = zstd.ZstdCompressor(dict_data=d, compression_params=par)
+
+    def sizes(data: list[bytes]) -> list[int]:
+        if hasattr(made, "multi_compress_to_buffer"):
+            return [len(x) for x in made.multi_compress_to_buffer(data)]
+        return [len(made.compress(x)) for x in data]
+
+    return sizes
 
 
 class Model:
-    def __init__(self, toxic=None, ordinary=None, width: int = WINDOW_WORDS, base: float = 0.0):
-        self.toxic, self.ordinary, self.width, self.base = toxic, ordinary, width, base
+    def __init__(self, tables: bytes = b"", ordinary: bytes = b" ", toxic: bytes = b" ", width: int = WINDOW_WORDS, base: float = 0.0):
+        self.tables, self.ordinary, self.toxic, self.width, self.base = tables, ordinary, toxic, width, base
+        self.chance = {t: RARER**-t for t in range(HIT, FARTHEST + 1)}
         self.knots: list[float] = []
         self.values: list[float] = []
         self._live = None
@@ -87,39 +131,38 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_live": None}
 
-    def _compressors(self):
+    def distances(self, ws: list[bytes]) -> list[int]:
+        """Bytes that the toxic dictionary saves on each window."""
         if self._live is None:
-            par = zstd.ZstdCompressionParameters.from_level(
-                9, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, strategy=zstd.STRATEGY_BTOPT, window_log=18, hash_log=14, chain_log=14
-            )
-            made = []
-            for data, full in (self.ordinary, self.toxic):
-                d = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_FULLDICT if full else zstd.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(compression_params=par)
-                made.append(zstd.ZstdCompressor(dict_data=d, compression_params=par).compress)
-            self._live = (*made, {})
-        return self._live
+            self._live = _compressor(self.tables, self.ordinary), _compressor(self.tables, self.toxic + self.ordinary)
+        ordinary, toxic = self._live
+        out: list[int] = []
+        for at in range(0, len(ws), 4096):  # bounded memory for very long texts
+            data = [CARRIER + w for w in ws[at : at + 4096]]
+            out += [a - b for a, b in zip(ordinary(data), toxic(data))]
+        return out
 
     def margin(self, text: str | None) -> float:
-        """Largest distance of the text's windows, plus one for each of up to four more hits."""
-        ordinary, toxic, memo = self._compressors()
-        top: list[int] = []
-        for w in windows(text, self.width):
-            d = memo.get(w)
-            if d is None:
-                data = CARRIER + w + b" "
-                d = len(ordinary(data)) - len(toxic(data))
-                if len(w) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[w] = d
-            if d >= HIT:
-                top.append(d)
-            elif not top or d > top[0]:
-                top = [d] if not top or top[0] < HIT else top
-        if not top:
+        d = self.distances(windows(words(text), self.width, self.width))
+        if not d:
             return LOWEST
-        return float(max(top) + min(sum(d >= HIT for d in top) - 1, 4) * (max(top) >= HIT))
+        best, high = 0.0, sorted((min(x, FARTHEST) for x in d if x >= HIT), reverse=True)
+        for k, t in enumerate(high, 1):  # k windows reach t
+            expected = len(d) * self.chance[t]
+            if k > expected:
+                best = max(best, k * math.log(k / expected) - k + expected)
+        return best
+
+    def count_chance(self, ordinary: list[list[bytes]]) -> None:
+        """Shares of the windows of ordinary texts that reach each distance from HIT on."""
+        found = Counter(min(x, FARTHEST) for ws in ordinary for x in self.distances(windows(ws, self.width, self.width)))
+        n, last = sum(found.values()), 0.5
+        if not n:
+            return
+        for t in range(HIT, FARTHEST + 1):
+            reach = sum(k for x, k in found.items() if x >= t)
+            last = reach if reach else last / RARER if t > HIT else 0.5
+            self.chance[t] = last / n
 
     def fit(self, margins: list[float], labels: list[int]) -> None:
         """Monotone regression by pooling adjacent violators, with one virtual text at the base rate in each pool."""
@@ -154,7 +197,49 @@ def learnable(labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame
     return use.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, docs_per_label: dict[int, int] | None = None, width: int = WINDOW_WORDS) -> Model:
+def _kept(found: list[tuple[int, bytes]], ordinary: Counter, ratio: float) -> list[bytes]:
+    """Windows at or above the least distance that is ``ratio`` times as frequent as among ordinary windows."""
+    n1, n0 = max(1, len(found)), max(1, sum(ordinary.values()))
+    for d in range(2, 24):
+        if sum(g >= d for g, _ in found) / n1 >= ratio * (sum(n for g, n in ordinary.items() if g >= d) + 1) / n0:
+            return [w for g, w in found if g >= d]
+    return []
+
+
+def dictionaries(ordinary: list[list[bytes]], toxic: list[list[bytes]], width: int = WINDOW_WORDS, ratio: float = 4.0) -> Model:
+    """A model without calibration, from the words of ordinary and of toxic texts."""
+    rng = random.Random(2)
+    plain = [x for ws in ordinary for x in windows(ws, 2 * width, 2 * width)]
+    rng.shuffle(plain)
+    tables, content = _trained(ORDINARY_BYTES, plain)
+    whole = [x for ws in ordinary for x in windows(ws, width, width)]
+    some = whole if len(whole) <= 200_000 else rng.sample(whole, 200_000)
+    halves = [toxic[0::2], toxic[1::2]]
+    source, size = [[x for ws in half for x in windows(ws, 2 * width, 2 * width)] for half in halves], HALF_BYTES
+    for _ in range(ROUNDS):
+        kept = []
+        for k in (0, 1):
+            m = Model(tables, content, _trained(size, source[k])[1], width)
+            chance = Counter(m.distances(some))
+            others = [x for ws in halves[1 - k] for x in windows(ws, width, max(1, width // 2))]
+            kept.append(_kept(list(zip(m.distances(others), others)), chance, ratio))
+        if not kept[0] and not kept[1]:
+            break
+        source = [kept[1] or kept[0], kept[0] or kept[1]]
+        size = TOXIC_BYTES
+    model = Model(tables, content, _trained(TOXIC_BYTES, source[0] + source[1])[1], width)
+    for _ in range(4):
+        hard = Counter()
+        for d, x in zip(model.distances(whole), whole):
+            if d >= 2:
+                hard[x] += d
+        if not hard:
+            break
+        model = Model(tables, b"".join(x for x, _ in hard.most_common())[:HARD_BYTES] + model.ordinary, model.toxic, width)
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, docs_per_label: dict[int, int] | None = None, width: int = WINDOW_WORDS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """``docs``: doc_id, text; ``labels``: doc_id, toxic. Two thirds of the sample make the dictionaries, one third the calibration.
 
     The sample is drawn from the labels and is as small as its bound, so it is broadcast and no text is shuffled.
@@ -169,42 +254,27 @@ def train(docs: DataFrame, labels: DataFrame, docs_per_label: dict[int, int] | N
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("toxic") == 1, min(1.0, bound[1] / n1)).otherwise(min(1.0, bound[0] / n0))
     chosen = F.broadcast(labels.filter(chance < share).select("doc_id", "toxic"))
-    some = docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id")
-    some = some.select("text", "toxic", (F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(3)) == 0).alias("apart"))
-    counts, seen, kept, apart = (Counter(), Counter()), [0, 0], [], []
-    known: set[int] = set()
-    for r in some.toLocalIterator(prefetchPartitions=False):
-        marks = sketch(r["text"])  # of near copies one is learned from: else a text copied often would lend its words its label
-        copy = not known.isdisjoint(marks)
-        known.update(marks)
-        if copy:
+    sample = docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id")
+    sample = sample.select("text", "toxic", (F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id")), F.lit(3)) == 0).alias("apart"))
+    copies, texts, apart, size = Copies(), ([], []), [], 0
+    for r in sample.toLocalIterator(prefetchPartitions=False):
+        ws = words(r["text"])
+        size += len(r["text"])
+        if size > sample_bytes:
+            break
+        if not ws or copies.add(ws):  # of near copies one is learned from: else a text copied often would lend its words its label
             continue
         if r["apart"]:
             apart.append((r["text"], r["toxic"]))
-            continue
-        seen[r["toxic"]] += 1
-        counts[r["toxic"]].update(windows(r["text"], width))
-        if r["toxic"] == 0 and len(kept) < 4000:
-            kept.append(r["text"].lower().encode("utf-8", "surrogatepass").translate(_SPLIT))
-    if not seen[0] or not seen[1]:
+        else:
+            texts[r["toxic"]].append(ws)
+    if not texts[0] or not texts[1]:
         return Model(base=base)
-    weight, bar = {}, 2 * math.log(len(counts[1]) + 1)  # about one window in all is expected to pass by chance
-    for w, a in counts[1].items():
-        b = counts[0][w]
-        if a >= 2 and a * seen[0] > 5 * b * seen[1] and (g := _likelihood_ratio(a, b, seen[1], seen[0])) >= bar:
-            weight[w] = g
-    if not weight:
-        return Model(base=base)
-    words = sorted(weight, key=lambda w: (weight[w], w))
-    rng = random.Random(2)
-    mixed = [b" " + b" ".join(rng.choices(words, weights=[weight[w] for w in words], k=8)) + b" " for _ in range(4000)]
-    kept.sort()
-    samples = [t[i : i + 600] for t in kept for i in range(0, len(t), 600)]
-    rng.shuffle(samples)
-    model = Model(_trained(TOXIC_BYTES, mixed), _trained(ORDINARY_BYTES, samples[:8000]), width, base)
-    model.fit([model.margin(t) for t, _ in apart], [y for _, y in apart])
-    if len(apart) < 2:
-        model.knots = []
+    model = dictionaries(sorted(texts[0]), sorted(texts[1]), width)
+    model.base = base
+    model.count_chance([words(t) for t, y in apart if y == 0])
+    if len(apart) > 1:
+        model.fit([model.margin(t) for t, _ in apart], [y for _, y in apart])
     return model
 
 
