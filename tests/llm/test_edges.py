@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from triskele.llm import op1_html, op2_exact_dedup, op3_mix, op4_shard, op5_tokens, op6_langid, op7_warc, op8_decontaminate, op9_toxicity, op10_simhash
-from triskele.llm.common import shared_root
+from triskele.llm.common import shared_root, split_by, written
 from triskele.llm.registry import vocabulary
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, found string, lang_pred string, toxicity int, shard string, mix_id int, h string, fp string, n int"
@@ -85,6 +85,38 @@ def test_mix(docs, empty):
     assert op3_mix.plan(empty).count() == 0 and op3_mix.mixture(empty).count() == 0
 
 
+def test_mixture_is_the_whole_documents_before_the_target(spark):
+    """Against a plain running sum over each source, with rows alike at the cut, null ids and a source of one repeated row."""
+    shared_root(spark)
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 30)), rng.choice("abc")) for i in range(300)] + [(None, f"null {i}", "a") for i in range(40)] + [(7, "same words here", "d")] * 500
+    rows += [(9, "again and again", "c")] * 700
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    t = {r.src: r for r in op3_mix.targets(op3_mix.sized(docs)).collect()}
+    want = {}
+    for src in "abcd":
+        own = sorted((hashlib.md5(f"{'' if d is None else d}:{hashlib.md5(x.encode()).hexdigest()}".encode()).hexdigest(), d, x) for d, x, s in rows if s == src)
+        for e in range(3):
+            at = e * sum(len(x.split()) for _, _, x in own)
+            for _, d, x in own:
+                n = len(x.split())
+                if (at + n / 2 <= t["=" + src].target) if n else e == 0:
+                    want[d, x, src] = want.get((d, x, src), 0) + 1
+                at += n
+    got = {}
+    for r in op3_mix.mixture(docs).collect():
+        got[r.doc_id, r.text, r.source] = got.get((r.doc_id, r.text, r.source), 0) + 1
+    assert got == want
+
+
+def test_plan_deals_large_sets_out_in_chunks(spark, monkeypatch):
+    shared_root(spark)
+    docs = spark.createDataFrame([(7, "same words here", "d")] * 500 + [(8, "other", "e")] * 3, "doc_id bigint, text string, source string")
+    whole = sorted(map(repr, op3_mix.plan(docs).select("doc_id", "size", "taken").collect()))
+    monkeypatch.setattr(op3_mix, "CHUNK", 7)
+    assert sorted(map(repr, op3_mix.plan(docs).select("doc_id", "size", "taken").collect())) == whole and len(whole) == 503
+
+
 def test_mix_positions_follow_the_schedule(spark):
     rows = spark.createDataFrame([(i, "w " * 10, "s") for i in range(400)], "doc_id bigint, text string, source string")
     # all weight in the second half of training
@@ -120,6 +152,21 @@ def test_shards_of_one_repeated_row(spark):
     assert sum(got.values()) == 500 and max(got.values()) <= 100
 
 
+def test_shards_of_rows_that_do_not_divide_the_limit(spark, monkeypatch):
+    """Rows of one doc_id, of none and of several sizes: every shard of several rows fits, and no row is lost."""
+    shared_root(spark)
+    monkeypatch.setattr(op4_shard, "CHUNK", 3)
+    rows = [(1, "x" * 60, 4)] * 5 + [(None, "y" * n, n) for n in range(90)] + [(2, "z" * 130, 0)] * 3 + [(3, "", 0)] * 20
+    out, names = op4_shard.sharded(spark.createDataFrame(rows, "doc_id bigint, text string, cell int"), 100)
+    got, shards = out.collect(), {}
+    assert sorted(map(repr, [(r.doc_id, r.text, r.cell) for r in got])) == sorted(map(repr, rows))
+    for r in got:
+        shards.setdefault(r[names["shard"]], []).append(r)
+    for rows in shards.values():
+        total = sum(len(r.text) for r in rows)
+        assert (total <= 100 or len(rows) == 1) and {(r[names["shard_bytes"]], r[names["shard_docs"]]) for r in rows} == {(total, len(rows))}
+
+
 def test_tokens(docs, empty):
     got = op5_tokens.token_output(docs, vocabulary("byte_bpe_50k.json")).collect()
     assert len(got) == len(ROWS)
@@ -195,6 +242,13 @@ def test_decontamination(docs, empty, bench, spark):
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 2
 
 
+def test_decontamination_in_blocks_is_the_same(docs, bench, monkeypatch):
+    want = sorted(map(repr, op8_decontaminate.report(docs, bench).collect()))
+    for group in (0, 1 << 20):
+        monkeypatch.setattr(op8_decontaminate, "GROUP_BYTES", group)
+        assert sorted(map(repr, op8_decontaminate.report(docs, bench, block_bytes=1).collect())) == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 13, 14])
 def test_short_items(spark, n):
     words = [f"w{i}" for i in range(30)]
@@ -241,6 +295,24 @@ def test_html(spark, empty):
     assert op1_html.extracted(pages.limit(0))[0].count() == 0
 
 
+@pytest.mark.parametrize("words", [16, 1 << 20])
+def test_split_by_loses_no_key(spark, words):
+    shared_root(spark)
+    keys = written(spark.range(0, 3000, 3).withColumnRenamed("id", "bitmap_word"), "keys")
+    rows = spark.range(3000).selectExpr("id", "id % 7 as bitmap_bits").union(spark.sql("select cast(null as bigint), 1L"))
+    no, other = split_by(rows, "id", keys, words)
+    no, other = [r.id for r in no.collect()], {r.id for r in other.collect()}
+    assert len(no) + len(other) == 3001 and other >= set(range(0, 3000, 3)) and not other & set(no)
+    assert words == 16 or len(other) < 1300
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    rows = [(1, "the quick brown fox jumps", "a"), (1, "the quick brown fox jumps", "b"), (2, "the quick brown fox jumps", "c"), (3, "zzz other", "d"), (3, "the quick brown fox jumps", "e"), (4, "an own text here", "f")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, fp string")
+    got = sorted((r.doc_id, r.text) for r in op10_simhash.near_dedup(docs).collect())
+    assert got == [(1, rows[0][1]), (3, rows[0][1]), (4, "an own text here")]
+
+
 def test_near_dedup_of_rows_without_an_id(spark):
     one, two, three = ("the quick brown fox jumps over the lazy dog", "some other text of a few words", "a third text that has no id at all")
     rows = [(1, one, "a"), (None, one, "b"), (None, two, "c"), (None, two, "d"), (None, two, "e"), (None, three, "f"), (None, None, "g"), (None, "", "h"), (7, "an id and no copy of it here", "i")]
@@ -280,6 +352,39 @@ def test_html_deep_nesting(n):
     assert above(at["beside"]) == ["article", "page"] and above(at["end"]) == ["page"]
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<p title=it's>Hello</p><p>x</p>", ["Hello", "x"]),
+    ("<html><head><title>T</title><meta x><p>Body text</p>", ["Body text"]),
+    ("<head><title>T</title><script>a<b</script><body>Hi<p>there", ["Hi", "there"]),
+    ("<p>a<svg><path d=1><p>b</p>", ["a", "b"]),
+    ("<p>a<svg><text>x</text></svg>b", ["ab"]),
+    ("<video src=x><p>kept</p>", ["kept"]),
+    ("x < y and <b>z</b> <3", ["x < y and z <3"]),
+    ("<p>text <a href=\"foo", ["text"]),
+    ("<a href=\"x>text</a> more <b>z</b>", ["text more z"]),
+    ("<select><option>a<option>b</select>c", ["c"]),
+    ("<object><object>x</object>y</object>z", ["z"]),
+    ("a<!-- <p>no</p> -->b<!-- open <p>no", ["ab"]),
+    ("<script>'<p>no</p><svg>'</script><p>b<svg></svg>c", ["bc"]),
+])
+def test_html_broken_markup(source, want):
+    assert [t for t in op1_html.Page(source).text if t] == want
+
+
+@pytest.mark.parametrize("source", [
+    "<a " * 350000, "<script " * 130000, "<script>" * 130000, '<a x=">"' * 130000, "<a x='" * 170000, '<p x="' + "z" * 1000000 + '">hi', "<" * 1000000,
+    "<!--" * 250000, "<svg>" * 200000, "</p>" * 250000, "<a<" * 300000, "<div>" * 10000 + "t" + "</div>" * 10000,
+])
+def test_html_hostile_pages_take_linear_time(source):
+    import time
+
+    began = time.process_time()
+    page = op1_html.Page(source)
+    if len(page.kind) < 20000:
+        op1_html.extract([source], op1_html.model())
+    assert time.process_time() - began < 3
+
+
 def test_html_decoding_is_consistent():
     parent = [-1, 0, 0, 1, 1, 2]
     keep = op1_html.decode(parent, op1_html.np.array([1.0, 0.5, -3.0, 2.0, -1.0, 1.0]))
