@@ -54,7 +54,7 @@ FARTHEST = 40
 #: How many times rarer each further byte is taken to be where no ordinary window reaches it.
 RARER = 2.5
 #: In front of each window, so that the compressed block is never stored raw.
-CARRIER = b"~" * 40 + b" "
+CARRIER = b"~" * 8 + b" "
 #: The end of a trained dictionary's tables: the three first repeated offsets of the format.
 _OFFSETS = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
 _SPLIT = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
@@ -106,7 +106,7 @@ def _trained(size: int, samples: list[bytes]) -> tuple[bytes, bytes]:
 
 def _compressor(tables: bytes, content: bytes):
     par = zstd.ZstdCompressionParameters.from_level(
-        9, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, strategy=zstd.STRATEGY_BTOPT, window_log=18, hash_log=17, chain_log=17, target_length=64
+        9, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3, strategy=zstd.STRATEGY_BTOPT, window_log=18, hash_log=16, chain_log=16, target_length=32, search_log=3
     )
     d = zstd.ZstdCompressionDict(tables + content, dict_type=zstd.DICT_TYPE_FULLDICT if tables else zstd.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=par)
