@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The columns of the hit tables.
 FULL = ["QueryStart", "QueryEnd", "StartInSeq", "EndInSeq", "Direction", "StartInGenome", "EndInGenome", "MeanStability", "MeanIdentity(%)", "Strand", "Rule", "Score", "Nt(bp)", "Class", "MidPoint", "Center", "TFO sequence"]
+FAST = ["QueryStart", "QueryEnd", "StartInSeq", "EndInSeq", "Direction", "Chr", "StartInGenome", "EndInGenome", "MeanStability", "MeanIdentity(%)", "Strand", "Rule", "Score", "Nt(bp)", "Class", "MidPoint", "Center", "TFO sequence", "TTS sequence"]
 LITE = ["Chr", "StartInGenome", "EndInGenome", "Strand", "Rule", "QueryStart", "QueryEnd", "StartInSeq", "EndInSeq", "Direction", "Score", "Nt(bp)", "MeanIdentity(%)", "MeanStability"]
 MODES = {"full": ["full"], "tfosorted": ["full"], "lite": ["lite"], "both": ["full", "lite"]}
 
 
 def six_digits(x: Column) -> Column:
-    """A float in six significant digits without trailing zeros."""
-    v = F.format_string("%.6g", x.cast("double"))
-    return F.when(F.contains(v, F.lit("e")), v).otherwise(F.regexp_replace(F.regexp_replace(v, r"(\.\d*?)0+$", "$1"), r"\.$", ""))
+    """A float in six significant digits without trailing zeros; exact ties round to even, as printf does."""
+    d = x.cast("double")
+    text, size = F.format_string("%.6g", d), F.abs(d)
+    for k in range(-4, 6):
+        exact = F.bround(d.cast("decimal(38,16)"), 5 - k).cast("string")
+        text = F.when((size >= 10.0**k) & (size < 10.0 ** (k + 1)), exact).otherwise(text)
+    return F.when(F.contains(text, F.lit("e")) | ~F.contains(text, F.lit(".")), text).otherwise(F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ""))
 
 
 def layout(hits: DataFrame, columns: list[str]) -> DataFrame:
@@ -33,12 +39,47 @@ def write_hits(hits: DataFrame, path: str, mode: str = "full") -> None:
         layout(rows, FULL if kind == "full" else LITE).write.option("sep", "\t").option("header", True).option("emptyValue", "").csv(f"{path}/{kind}")
 
 
+def bedgraph_header(chrom: str, start: int, end: int, name: str, label: str) -> list[str]:
+    """The nine lines before the runs of one class."""
+    # The lines of the format.
+    return [
+        f"browser position {chrom}:{start}-{end}", "browser hide all", "browser pack refGene encodeRegions", "browser full altGraph",
+        "# 300 base wide bar graph, ausoScale is on by default == graphing", "# limits will dynamically change to always show full range of data",
+        "# in viewing window, priority = 20 position this as the second graph", "# Note, zero-relative, half-open coordinate system in use for bedGraph format",
+        f"track type=bedGraph name='{name}' description='{label}' visibility=full color=200,100,0 altColor=0,100,200 priority=20",
+    ]
+
+
+def headed(lines: DataFrame, header: list[str]) -> DataFrame:
+    """``lines`` (one string column, ordered) with the header before the first line of the first partition."""
+    import pyarrow as pa
+
+    name = lines.columns[0]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        if TaskContext.get().partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array(header, pa.string())], [name])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string())], [name])
+
+    return lines.mapInArrow(run, f"`{name}` string")
+
+
 def write_bedgraph(runs: DataFrame, path: str, header: list[str]) -> None:
-    """Coverage runs (chr, first, last, depth) in order, below the header lines, per file."""
-    lines = runs.orderBy("chr", "first").select(F.concat_ws("\t", "chr", F.col("first").cast("string"), F.col("last").cast("string"), F.col("depth").cast("string")).alias("value"))
-    spark = runs.sparkSession
-    top = spark.createDataFrame([(h,) for h in header], "value string").coalesce(1)
-    top.unionByName(lines).write.text(path)
+    """Coverage runs (chr, first, last, depth) in order below the header lines: the part files, in the order of their names, are the file."""
+    line = F.concat_ws("\t", "chr", F.col("first").cast("string"), F.col("last").cast("string"), F.col("depth").cast("string"))
+    headed(runs.orderBy("chr", "first").select(line.alias("value")), header).write.text(path)
+
+
+def write_class_bedgraphs(runs: DataFrame, path: str, chrom: str, start: int, end: int, query: str, reach: int, length: int, classes: int = 2) -> list[str]:
+    """One bedGraph folder for each class of ``runs`` (class, chr, first, last, depth); returns the folders."""
+    out = []
+    for k in range(1, classes + 1):
+        out.append(f"{path}/class{k}-{reach}-{length}")
+        write_bedgraph(runs.filter(F.col("class") == k), out[-1], bedgraph_header(chrom, start, end, f"{query} TTS ({k})", f"{reach}-{length}"))
+    return out
 
 
 def write_trace(trace: DataFrame, path: str) -> None:
