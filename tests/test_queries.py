@@ -5,8 +5,11 @@ import os
 import duckdb
 import pytest
 
-from triskele.plans import kernel_queries
-from triskele.plans.queries import QUERIES, SQL
+from triskele.kernels import align
+from triskele.plans import kernel_queries, panel_queries, queries
+from triskele.plans.search import SearchConfig, plan_tasks, thresholds, two_stage_windows
+
+QUERIES, SQL = (queries.QUERIES | panel_queries.QUERIES | kernel_queries.QUERIES), (queries.SQL | panel_queries.SQL | kernel_queries.SQL)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,9 +36,79 @@ def test_same_rows_as_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["fast_search", "column_maxima", "two_stage", "tile_fragments", "score_thresholds"])
-def test_kernel_queries_run(spark, name):
-    assert kernel_queries.QUERIES[name](spark, DATA).limit(5).count() >= 0
+@pytest.fixture
+def small(spark, monkeypatch):
+    """A few sequences in the place of the documents, one of them close to the query."""
+    rna = kernel_queries.RNA
+    seqs = [(1, "GATTACA" * 20 + rna + "CCTT" * 30), (2, "ACGT" * 40), (3, rna[::-1] + rna[5:45] + "TTTTCCCC" * 9), (4, ""), (5, "A" * 130)]
+    monkeypatch.setattr(kernel_queries.Q, "dna", lambda spark, d: spark.createDataFrame(seqs, "doc_id bigint, seq string"))
+    return dict(seqs)
+
+
+def tasks_by_hand(spark, config):
+    return [r.asDict() for r in plan_tasks(kernel_queries.Q.dna(spark, DATA), config).collect()]
+
+
+def test_column_maxima_by_hand(spark, small):
+    got = {}
+    for r in kernel_queries.QUERIES["column_maxima"](spark, DATA).collect():
+        got.setdefault((r.doc_id, r.fragment_index, r.strand), {})[r.position] = r.score
+    for t in tasks_by_hand(spark, kernel_queries.CONFIG):
+        best = align.column_maxima(align.encode(kernel_queries.RNA), align.encode(t["target"]))[0]
+        assert got.pop((t["doc_id"], t["fragment_index"], t["strand"])) == dict(enumerate(best.tolist()))
+    assert not got
+
+
+def test_fast_search_by_hand(spark, small):
+    """Every hit's interval scores what it says; every task's highest column is met or beaten by the filter."""
+    hits = kernel_queries.fast_hits(kernel_queries.Q.dna(spark, DATA), kernel_queries.RNA, kernel_queries.CONFIG).collect()
+    tasks = {(t["doc_id"], t["fragment_index"], t["strand"]): t for t in tasks_by_hand(spark, kernel_queries.CONFIG)}
+    assert hits and len({tuple(h) for h in hits}) == len(hits)
+    for h in hits:
+        t = tasks[h.doc_id, h.fragment_index, h.strand]
+        cut = align.encode(t["target"][h.start_j - 1 : h.end_j])
+        assert align.local(align.encode(kernel_queries.RNA[h.query_start - 1 : h.query_end]), cut)[0] == h.raw_score
+        n = len(t["target"])
+        at = (n - h.start_j + 1, n - h.end_j + 1) if t["reverse"] else (h.start_j, h.end_j)
+        assert (h.start_in_seq, h.end_in_seq) == (at[0] + t["fragment_start"], at[1] + t["fragment_start"])
+        assert h.identity >= 60 and h.stability >= 0.5 and h.direction == ("R" if h.start_in_seq < h.end_in_seq else "L")
+
+
+def test_exact_search_finds_the_planted_copy(spark, small):
+    config = SearchConfig(rule=1, cut=120, overlap=20, stability=-5000.0, pairs=30, identity=0.0)
+    hits = kernel_queries.exact_hits(kernel_queries.Q.dna(spark, DATA), kernel_queries.RNA, config).collect()
+    least = {(r.query, r.target): r.least for r in thresholds(plan_tasks(kernel_queries.Q.dna(spark, DATA), config, kernel_queries.RNA), None, 30).collect()}
+    want = 0
+    for t in tasks_by_hand(spark, config):
+        want += len(align.k_best(align.encode(kernel_queries.RNA), align.encode(t["target"]), least[kernel_queries.RNA, t["target"]]))
+    assert len(hits) == want > 0
+
+
+def test_two_stage_searches_stay_in_their_windows(spark, small, monkeypatch):
+    monkeypatch.setattr(kernel_queries, "CONFIG", SearchConfig(rule=1, cut=120, overlap=20, stability=-5000.0, pairs=30, identity=0.0, pad=8, gap=4))
+    key = ["doc_id", "fragment_index", "parallel", "rule", "reverse"]
+    tasks = plan_tasks(kernel_queries.Q.dna(spark, DATA), kernel_queries.CONFIG, kernel_queries.RNA)
+    windows = two_stage_windows(tasks, kernel_queries.RNA, key, 8, 4, 10).collect()
+    for name in ("two_stage_search", "deferred_search"):
+        hits = kernel_queries.QUERIES[name](spark, DATA).collect()
+        assert len({tuple(h) for h in hits}) == len(hits)
+    full = kernel_queries.two_stage_hits(kernel_queries.Q.dna(spark, DATA), kernel_queries.RNA, ["doc_id"], kernel_queries.CONFIG).collect()
+    assert full
+    for h in full:
+        assert any((w.doc_id, w.fragment_index, w.parallel, w.rule, w.reverse) == (h.doc_id, h.fragment_index, h.parallel, h.rule, h.reverse) and w.start_j <= h.start_j and h.end_j <= w.end_j for w in windows)
+
+
+def test_search_output_is_ordered(spark, small):
+    rows = kernel_queries.QUERIES["search_output"](spark, DATA).collect()
+    key = [(r.doc_id, r.Class, r.QueryStart, r.QueryEnd, r.StartInSeq, r.EndInSeq) for r in rows]
+    assert key == sorted(key) and all(r.Class > 0 and r["Nt(bp)"] > 20 for r in rows)
+
+
+def test_several_queries_meet_every_task(spark, small):
+    two = spark.createDataFrame([("a", kernel_queries.RNA), ("b", "GGAAGGAGGAAGGGAGAAAGG")], "query_name string, query string")
+    both = kernel_queries.fast_hits(kernel_queries.Q.dna(spark, DATA), two, kernel_queries.CONFIG).collect()
+    one = kernel_queries.fast_hits(kernel_queries.Q.dna(spark, DATA), kernel_queries.RNA, kernel_queries.CONFIG).count()
+    assert sum(r.query_name == "a" for r in both) == one and {r.query_name for r in both} == {"a", "b"}
 
 
 def test_boxes_of_all_windows(spark):

@@ -68,5 +68,36 @@ def seed_interval(score: Column, end: Column, match: int = 5, mismatch: int = 4,
 
 def integer_list(text: Column) -> Column:
     """Integers of a comma-separated list; fails on an item that is none."""
-    items = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(items, lambda x: x.cast("bigint"))
+
+
+def integers(text: Column, least: int) -> Column:
+    """``integer_list``, failing on an item below ``least``."""
+    return F.transform(integer_list(text), lambda x: F.when(x < least, F.raise_error(F.lit(f"integer below {least}"))).otherwise(x))
+
+
+def density(score: Column, bp: Column) -> Column:
+    """Score per base; 0 where there is none."""
+    return share(score, bp)
+
+
+def fits_16_bits(*coordinates: Column) -> Column:
+    """Whether all coordinates fit 16 unsigned bits."""
+    out = F.lit(True)
+    for c in coordinates:
+        out = out & c.between(0, 65535)
+    return out
+
+
+def tile_key(*columns: str) -> Column:
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+
+
+def clamped(value: Column, low: int, high: int) -> Column:
+    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+
+
+def json_value(column: str, path: str, kind: str, default) -> Column:
+    """The value at ``path`` of a JSON text as ``kind``; ``default`` where it is missing or of another kind."""
+    return F.coalesce(F.get_json_object(column, path).try_cast(kind), F.lit(default).cast(kind))

@@ -68,3 +68,19 @@ def clean_name(name: Column) -> Column:
     """Base name without folders and a FASTA suffix, with anything unusual as underscore."""
     base = F.regexp_replace(F.regexp_replace(name, "^.*/", ""), r"\.(fa|fasta)$", "")
     return F.regexp_replace(base, r"[^A-Za-z0-9._-]", "_")
+
+
+# Numbers of the nucleotide letters, ambiguous ones included.
+IUPAC = {"A": 1, "B": 15, "C": 2, "D": 12, "G": 3, "H": 13, "K": 11, "M": 8, "N": 16, "P": 6, "Q": 7, "R": 6, "S": 10, "T": 4, "U": 5, "V": 14, "W": 9, "X": 17, "Y": 7}
+
+
+def iupac_code(base: Column) -> Column:
+    """Number of a nucleotide letter, whatever its case; 0 for anything else."""
+    table = F.create_map(*[F.lit(x) for k, v in IUPAC.items() for x in (k, v)])
+    return F.coalesce(table[F.upper(base)], F.lit(0))
+
+
+def profile_index(base: Column) -> Column:
+    """Row of a query profile: A, C, G, T, U by number, everything else as N."""
+    code = iupac_code(base)
+    return F.when(code.between(1, 5), code).otherwise(16)

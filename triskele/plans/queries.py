@@ -201,12 +201,13 @@ GATE = f"""WITH RECURSIVE b AS (SELECT *, best - second AS m, end_j - start_j +
   r0 AS (SELECT *, CASE WHEN NOT peak_ok THEN 'min_peak_score' WHEN NOT (support_ok OR margin_ok OR strong_ok) THEN CASE WHEN support = 1 AND second IS NULL THEN 'singleton_missing_margin' ELSE 'low_support_or_margin' END ELSE 'kept' END AS r FROM b),
   r1 AS (SELECT * REPLACE (CASE WHEN r = 'singleton_missing_margin' AND best >= 85 AND row_number() OVER (PARTITION BY task, (r = 'singleton_missing_margin' AND best >= 85) ORDER BY best DESC, ordinal) = 1 THEN 'singleton_rescued' ELSE r END AS r) FROM r0),
   r2 AS (SELECT *, CASE WHEN r IN ('kept', 'singleton_rescued') THEN row_number() OVER (PARTITION BY task, r IN ('kept', 'singleton_rescued') ORDER BY best DESC, support DESC, m DESC NULLS LAST, start_j, end_j, ordinal) - 1 END AS k FROM r1),
-  r3 AS (SELECT * REPLACE (CASE WHEN k >= 3 THEN 'max_windows' ELSE r END AS r) FROM r2),
+  r3 AS MATERIALIZED (SELECT * REPLACE (CASE WHEN k >= 3 THEN 'max_windows' ELSE r END AS r) FROM r2),
   f AS (SELECT task, k, CASE WHEN bp <= 45 THEN bp ELSE 0 END AS total, bp <= 45 AS taken FROM r3 WHERE k = 0
     UNION ALL SELECT q.task, q.k, CASE WHEN f.total + q.bp <= 45 THEN f.total + q.bp ELSE f.total END, f.total + q.bp <= 45 FROM f JOIN r3 q ON q.task = f.task AND q.k = f.k + 1 AND q.k < 3),
-  gated AS (SELECT r3.* EXCLUDE (r), coalesce(f.taken, false) AS after_gate, CASE WHEN f.taken = false THEN 'max_bp' ELSE r3.r END AS reject_reason FROM r3 LEFT JOIN f ON f.task = r3.task AND f.k = r3.k AND r3.k < 3),
-  cov AS (SELECT g.*, NOT g.after_gate AND EXISTS (SELECT 1 FROM gated k WHERE k.task = g.task AND k.after_gate AND k.start_j <= g.start_j AND k.end_j >= g.end_j) AS covered FROM gated g),
-  st AS (SELECT *, sum(after_gate::INT) OVER (PARTITION BY task) AS n_kept, max(CASE WHEN after_gate THEN best END) OVER (PARTITION BY task) AS best_kept,
+  gated AS MATERIALIZED (SELECT r3.* EXCLUDE (r), coalesce(f.taken, false) AS after_gate, CASE WHEN f.taken = false THEN 'max_bp' ELSE r3.r END AS reject_reason FROM r3 LEFT JOIN f ON f.task = r3.task AND f.k = r3.k AND r3.k < 3),
+  inner_ AS (SELECT DISTINCT g.task, g.ordinal FROM gated g JOIN gated k ON k.task = g.task AND k.after_gate AND k.start_j <= g.start_j AND k.end_j >= g.end_j WHERE NOT g.after_gate),
+  cov AS MATERIALIZED (SELECT g.*, i.ordinal IS NOT NULL AS covered FROM gated g LEFT JOIN inner_ i ON i.task = g.task AND i.ordinal = g.ordinal),
+  st AS MATERIALIZED (SELECT *, sum(after_gate::INT) OVER (PARTITION BY task) AS n_kept, max(CASE WHEN after_gate THEN best END) OVER (PARTITION BY task) AS best_kept,
     NOT after_gate AND reject_reason = 'singleton_missing_margin' AND support = 1 AND second IS NULL AS single FROM cov),
   s2 AS (SELECT *, single AND best >= 85 AS qual, single AND best >= 85 AND NOT covered AS opn,
     CASE WHEN n_kept = 0 THEN single AND best >= 85 ELSE single AND best >= 85 AND NOT covered AND best_kept - best <= 6 AND n_kept <= 2 END AS near FROM st)"""
