@@ -295,6 +295,14 @@ def test_html(spark, empty):
     assert op1_html.extracted(pages.limit(0))[0].count() == 0
 
 
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace as N
+
+    context = N(getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        shared_root(N(sparkContext=context, conf=N(get=lambda k, d: d)))
+
+
 @pytest.mark.parametrize("words", [16, 1 << 20])
 def test_split_by_loses_no_key(spark, words):
     shared_root(spark)

@@ -17,9 +17,11 @@ ASCII_LOWER = bytes.maketrans(UPPER, LOWER)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; where unset (tests), one is made and set."""
+    """The shared folder the cluster names in spark.checkpoint.dir; where unset, one is made and set on a local master, and elsewhere this fails."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="triskele-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
