@@ -57,6 +57,16 @@ def test_exact_dedup(docs, empty):
     assert op2_exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_of_repeated_rows(spark, monkeypatch):
+    shared_root(spark)
+    monkeypatch.setattr(op2_exact_dedup, "CHUNK", 3)
+    rows = [(7, "same")] * 10 + [(3, "same")] * 2 + [(None, "none")] * 4 + [(1, "one")]
+    got = op2_exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(repr((r.doc_id, r.keep_id, r.group_size, r.kept)) for r in got) == sorted(
+        map(repr, [(7, 7, 12, True)] + [(7, 7, 12, False)] * 9 + [(3, 7, 12, False)] * 2 + [(None, None, 4, True)] + [(None, None, 4, False)] * 3 + [(1, 1, 1, True)])
+    )
+
+
 def test_grace_spills_and_agrees(tmp_path):
     rows = [(op2_exact_dedup.xxhash.xxh64_intdigest(b"%d" % (i % 700)), b"%d" % (i % 700) * 40, i, 1, 1) for i in range(5000)]
     plain = {c: tuple(e) for c, *e in op2_exact_dedup.grace(iter(rows), 1 << 30, str(tmp_path))}

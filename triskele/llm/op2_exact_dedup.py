@@ -22,11 +22,13 @@ import uuid
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filesystem, scratch, written
 
+#: Tied rows that one task deals out again.
+CHUNK = 4096
 LIMIT = 96 << 20
 FAN = 16
 _HEAD = struct.Struct("<qqqqI")
@@ -193,9 +195,13 @@ def exact_dedup(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top"))
     out = out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "ties")
     if not groups.filter("ties > 1").isEmpty():
-        tied = F.col("kept") & (F.col("ties") > 1)
-        one = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(1))) == 1
-        out = out.filter(~F.coalesce(tied, F.lit(False))).unionByName(out.filter(tied).withColumn("kept", one))
+        # Rows alike in text and doc_id are alike in the result but for one: they are dealt out again from their count.
+        step = F.lit(CHUNK).cast("long")
+        chunks = groups.filter("ties > 1").select("digest", "top", "n", "ties", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ties") - 1, step)).alias("lo")).repartition("digest", "lo")
+        each = chunks.select("*", F.explode(F.sequence("lo", F.least(F.col("lo") + step, F.col("ties")) - 1)).alias("i"))
+        each = each.select(F.col("top").alias("doc_id"), F.col("top").alias("keep_id"), F.col("n").alias("group_size"), (F.col("i") == 0).alias("kept"), F.col("digest").alias("text_sha256"))
+        tied = F.coalesce(F.col("kept") & (F.col("ties") > 1), F.lit(False))
+        return out.filter(~tied).drop("ties").unionByName(each)
     return out.drop("ties")
 
 
