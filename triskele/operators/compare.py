@@ -96,10 +96,28 @@ def require_same_keys(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return a.join(b, key)
 
 
-def content_hash(rows: DataFrame, columns: list[str], group: list[str], buckets: int = 1024) -> DataFrame:
-    """Order-free sha256 per group: rows are hashed, sorted and hashed in buckets, then buckets are hashed in order."""
+def content_hash(rows: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
+    """Order-free sha256 per group: rows are hashed, the hashes' eight 32-bit parts are added up, and the sums are hashed with the row count.
+
+    Sums are combined in the map task, so nothing grows with the group.
+    """
     line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    h = rows.select(*group, F.sha2(line, 256).alias("h")).withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int") % buckets)
-    per = h.groupBy(*group, "bucket").agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256).alias("b"), F.count("*").alias("n"))
-    parts = F.sort_array(F.collect_list(F.struct("bucket", "b")))
-    return per.groupBy(*group).agg(F.sha2(F.concat_ws("", F.transform(parts, lambda x: x["b"])), 256).alias("content_sha256"), F.sum("n").alias("n_rows"))
+    h = rows.select(*group, F.sha2(line, 256).alias("h"))
+    part = lambda k: F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")
+    sums = h.groupBy(*group).agg(*[F.sum(part(k)).alias(f"s{k}") for k in range(8)], F.count("*").alias("n_rows"))
+    return sums.select(*group, F.sha2(F.concat_ws(",", *[F.col(f"s{k}").cast("string") for k in range(8)], F.col("n_rows").cast("string")), 256).alias("content_sha256"), "n_rows")
+
+
+def raw_hash(lines: DataFrame, text: str, order: list[str], group: list[str]) -> DataFrame:
+    """sha256 per group of its lines in order, each ended by a line feed: what hashing the file itself gives. Groups are files; one is read by one task."""
+    import hashlib
+
+    def run(pdf):
+        pdf = pdf.sort_values(order, kind="stable")
+        digest = hashlib.sha256()
+        for x in pdf[text]:
+            digest.update((x + "\n").encode())
+        return pdf[group].head(1).assign(raw_sha256=digest.hexdigest())
+
+    schema = lines.select(*group).schema.add("raw_sha256", "string")
+    return lines.select(*dict.fromkeys([*group, *order, text])).groupBy(*group).applyInPandas(run, schema)

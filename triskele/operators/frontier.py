@@ -34,26 +34,46 @@ def worst(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*group).agg(F.min(F.struct(*order)).alias("w")).select(*group, *[F.col(f"w.{c}").alias(c) for c in order])
 
 
-def pareto(points: DataFrame, maximise: list[str], minimise: list[str], key: str) -> DataFrame:
-    """Points no other point dominates (at least as good everywhere, better somewhere).
+def _skyline(rows):
+    """Of an array of points those that no other dominates: each is compared with the ones kept so far, in the order of their sum."""
+    import numpy as np
 
-    Points with equal measures are first reduced to one, and a running best over the first measure
-    drops most dominated ones before the pairwise test of what is left.
+    m = rows[np.lexsort([*rows.T[::-1], rows.sum(axis=1)])]
+    kept = np.empty((0, m.shape[1]), dtype=m.dtype)
+    for p in m:  # a point is never dominated by one of a larger sum
+        if not len(kept) or not ((kept <= p).all(axis=1) & (kept < p).any(axis=1)).any():
+            kept = np.vstack([kept, p])
+    return kept
+
+
+def pareto(points: DataFrame, maximise: list[str], minimise: list[str], key: str, rounds: int = 2) -> DataFrame:
+    """Points no other point dominates (at least as good everywhere, better somewhere). Measures must not be null.
+
+    Equal points are first reduced to one. Each task keeps the front of its own points, then of ever
+    fewer tasks', since a point off its part's front is off the whole one; only fronts move, and no
+    pairs are formed. Measures are compared as 64-bit floats.
     """
+    import numpy as np
+    import pandas as pd
+
     m = [*[-F.col(c) for c in maximise], *[F.col(c) for c in minimise]]
     names = [f"m{i}" for i in range(len(m))]
-    pts = points.withColumns(dict(zip(names, m)))
-    one = pts.select(*names).distinct()
-    lead = F.min(names[1]).over(Window.orderBy(names[0]).rangeBetween(Window.unboundedPreceding, -1)) if len(names) == 2 else None
-    if lead is not None:
-        front = one.withColumn("lead", lead).filter(F.col("lead").isNull() | (F.col(names[1]) < F.col("lead")))
-        front = front.withColumn("least", F.min(names[1]).over(Window.partitionBy(names[0]))).filter(F.col(names[1]) == F.col("least")).select(*names)
-        return points.join(front, [points_col(points, a, maximise, minimise, i) == front[a] for i, a in enumerate(names)], "left_semi")
-    other = one.select(*[F.col(a).alias(f"o_{a}") for a in names])
-    no_worse, better = F.lit(True), F.lit(False)
-    for a in names:
-        no_worse, better = no_worse & (F.col(f"o_{a}") <= F.col(a)), better | (F.col(f"o_{a}") < F.col(a))
-    return pts.join(other, no_worse & better, "left_anti").select(*points.columns)
+    front = points.select(*[x.cast("double").alias(n) for n, x in zip(names, m)]).distinct()
+
+    def local(frames):
+        kept = np.empty((0, len(names)))
+        for f in frames:
+            kept = _skyline(np.vstack([kept, f.to_numpy(dtype=np.float64)]))
+        if len(kept):
+            yield pd.DataFrame(kept, columns=names)
+
+    schema = ", ".join(f"{n} double" for n in names)
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    front = front.mapInPandas(local, schema)
+    for k in range(rounds):
+        parts = max(1, int(parts**0.5)) if k < rounds - 1 else 1
+        front = front.repartition(parts).mapInPandas(local, schema)
+    return points.join(front, [points_col(points, n, maximise, minimise, i).cast("double") == front[n] for i, n in enumerate(names)], "left_semi")
 
 
 def points_col(points: DataFrame, name: str, maximise: list[str], minimise: list[str], i: int) -> Column:

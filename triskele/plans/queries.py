@@ -326,12 +326,18 @@ def key_ranking(spark, d):
     return C.best_scores(bound(spark, d, "hits"), KEY).withColumn("nth", F.row_number().over(order)).filter("nth <= 10")
 
 
-@query("""WITH h AS (SELECT file, substr(x, 1, 3) AS p, x FROM (SELECT file, sha256(concat_ws(chr(9), task, line, score)) AS x FROM hits)), b AS (SELECT file, ('0x' || p)::INT % 1024 AS k, sha256(string_agg(x, '' ORDER BY x)) AS s, count(*) AS n FROM h GROUP BY ALL)
-  SELECT file, sha256(string_agg(s, '' ORDER BY k)) AS content_sha256, sum(n)::BIGINT AS n_rows FROM b GROUP BY file""")
+@query("WITH h AS (SELECT file, sha256(concat_ws(chr(9), task, line, score)) AS x FROM hits), p AS (SELECT file, " + ", ".join(f"sum(('0x' || substr(x, {8 * k + 1}, 8))::BIGINT)::VARCHAR AS s{k}" for k in range(8)) + """, count(*) AS n_rows FROM h GROUP BY file)
+  SELECT file, sha256(concat_ws(',', s0, s1, s2, s3, s4, s5, s6, s7, n_rows::VARCHAR)) AS content_sha256, n_rows FROM p""")
 def content_hash(spark, d):
     return C.content_hash(bound(spark, d, "hits"), ["task", "line", "score"], ["file"])
 
 
+@query("SELECT n_name, sha256(string_agg(x || chr(10), '' ORDER BY k)) AS raw_sha256 FROM (SELECT n_name, s_suppkey AS k, s_name || chr(9) || s_suppkey AS x FROM supplier JOIN nation ON s_nationkey = n_nationkey) GROUP BY n_name")
+def raw_hash(spark, d):
+    s = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return C.raw_hash(s.select("n_name", "s_suppkey", F.concat_ws("\t", "s_name", F.col("s_suppkey").cast("string")).alias("x")), "x", ["s_suppkey"], ["n_name"])
+
+
 HITLESS = GATE + """, miss AS (SELECT task, line, h0, h1, score FROM hits WHERE (task * 7 + line) % 10 >= 8)"""
 
 
