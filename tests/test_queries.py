@@ -6,10 +6,12 @@ import duckdb
 import pytest
 
 from triskele.kernels import align
-from triskele.plans import kernel_queries, panel_queries, queries
+from triskele.plans import kernel_queries, panel_queries, queries, round_trip_queries
 from triskele.plans.search import SearchConfig, plan_tasks, thresholds, two_stage_windows
 
-QUERIES, SQL = (queries.QUERIES | panel_queries.QUERIES | kernel_queries.QUERIES), (queries.SQL | panel_queries.SQL | kernel_queries.SQL)
+QUERIES, SQL = (queries.QUERIES | panel_queries.QUERIES | round_trip_queries.QUERIES | kernel_queries.QUERIES), (
+    queries.SQL | panel_queries.SQL | round_trip_queries.SQL | kernel_queries.SQL
+)
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -131,6 +133,15 @@ def test_thresholds_of_all_tasks(spark, monkeypatch):
     assert {r.rule for r in kernel_queries.QUERIES["exact_search"](spark, DATA).select("rule").collect()} <= set(range(19))
 
 
+def test_registered_kernels_by_hand(spark, small):
+    got = {r.doc_id: r for r in QUERIES["registered_kernels"](spark, DATA).collect()}
+    q = align.encode(kernel_queries.RNA)
+    assert set(got) == {1, 2, 3, 5}
+    for k, r in got.items():
+        assert r.score == r.top == align.best_score(q, align.encode(small[k])[None, :])[0]
+    assert "50M" in got[1].cigar
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 FULL = ["QueryStart", "QueryEnd", "StartInSeq", "EndInSeq", "Direction", "StartInGenome", "EndInGenome", "MeanStability", "MeanIdentity(%)", "Strand", "Rule", "Score", "Nt(bp)", "Class", "MidPoint", "Center", "TFO sequence"]
 FAST = ["QueryStart", "QueryEnd", "StartInSeq", "EndInSeq", "Direction", "Chr", "StartInGenome", "EndInGenome", "MeanStability", "MeanIdentity(%)", "Strand", "Rule", "Score", "Nt(bp)", "Class", "MidPoint", "Center", "TFO sequence", "TTS sequence"]
 LITE = ["Chr", "StartInGenome", "EndInGenome", "Strand", "Rule", "QueryStart", "QueryEnd", "StartInSeq", "EndInSeq", "Direction", "Score", "Nt(bp)", "MeanIdentity(%)", "MeanStability"]
-MODES = {"full": ["full"], "tfosorted": ["full"], "lite": ["lite"], "both": ["full", "lite"]}
+MODES = {"full": ["full"], "tfosorted": ["full"], "lite": ["lite"], "both": ["full", "lite"], "fast": ["fast"]}
 
 
 def six_digits(x: Column) -> Column:
@@ -36,7 +36,7 @@ def unclustered(hits: DataFrame) -> DataFrame:
 def write_hits(hits: DataFrame, path: str, mode: str = "full") -> None:
     rows = hits if mode == "full" else unclustered(hits) if "Center" not in hits.columns else hits
     for kind in MODES[mode]:
-        layout(rows, FULL if kind == "full" else LITE).write.option("sep", "\t").option("header", True).option("emptyValue", "").csv(f"{path}/{kind}")
+        layout(rows, {"full": FULL, "lite": LITE, "fast": FAST}[kind]).write.option("sep", "\t").option("header", True).option("emptyValue", "").csv(f"{path}/{kind}")
 
 
 def bedgraph_header(chrom: str, start: int, end: int, name: str, label: str) -> list[str]:

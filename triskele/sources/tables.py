@@ -50,11 +50,23 @@ def read_selected_tasks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.col("p")[i].cast("string" if c == "strand" else "int").alias(c) for i, c in enumerate(TASK_COLUMNS)])
 
 
-def read_report(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    r = spark.read.option("multiLine", True)
+def read_report(spark: SparkSession, path: str, schema=None, lines: bool = False) -> DataFrame:
+    """JSON reports: one document a file, or with ``lines`` one a line."""
+    r = spark.read.option("multiLine", not lines)
     return (r.schema(schema) if schema else r).json(path)
 
 
 def explode_runs(reports: DataFrame, runs: str = "runs") -> DataFrame:
     """One row per named run of a report whose runs are a map."""
     return reports.select("*", F.explode(F.map_entries(runs)).alias("entry")).select("*", F.col("entry.key").alias("run"), F.col("entry.value").alias("values")).drop("entry")
+
+#: File-name ends of each output mode.
+OUTPUTS = {"full": "*-TFOsorted", "tfosorted": "*-TFOsorted", "lite": "*-TFOsorted.lite"}
+
+
+def read_outputs(spark: SparkSession, path: str, mode: str = "full") -> DataFrame:
+    """The hit tables of an output mode in a folder, by file; fails if there is none."""
+    files = spark.read.option("pathGlobFilter", OUTPUTS[mode]).format("binaryFile").load(path).select("path")
+    if files.isEmpty():
+        raise FileNotFoundError(f"no {OUTPUTS[mode]} in {path}")
+    return read_hits(spark, path, OUTPUTS[mode])

@@ -18,3 +18,8 @@ def read_telemetry(spark: SparkSession, path: str, prefix: str = "benchmark.") -
     lines = lines.filter(F.col("value").startswith(prefix) & F.contains(rest, F.lit("=")))
     pairs = lines.select("run", F.trim(F.substring_index(rest, "=", 1)).alias("key"), F.trim(F.expr(f"substring(value, {len(prefix)} + 1 + instr(substring(value, {len(prefix) + 1}), '='))")).alias("value"), "at")
     return pairs.groupBy("run", "key").agg(F.max_by("value", "at").alias("value"))
+
+
+def write_telemetry(rows: DataFrame, path: str, prefix: str = "benchmark.") -> None:
+    """``rows`` (key, value) as lines of the prefix, the key, an equals sign and the value."""
+    rows.select(F.concat(F.lit(prefix), F.col("key"), F.lit("="), F.coalesce(F.col("value").cast("string"), F.lit(""))).alias("value")).write.text(path)
