@@ -86,10 +86,10 @@ def pick(rows: DataFrame, group: list[str], first: str, order: list[Column]) ->
 
 
 def strongest_and_median(rows: DataFrame, bucket: list[str], value: str, key: str) -> DataFrame:
-    """Per bucket the row of largest value, and the middle one (n div 2 from the top) of those with a positive value."""
+    """Per bucket the row of largest value, and the middle one (n div 2 from the top) of the other rows with a positive value; without one, the second row."""
     order = Window.partitionBy(*bucket).orderBy(F.col(value).desc(), key)
     r = rows.withColumns({"nth": F.row_number().over(order), "n_positive": F.sum((F.col(value) > 0).cast("int")).over(Window.partitionBy(*bucket))})
-    out = r.withColumn("kind", F.when(F.col("nth") == 1, "strongest").when((F.col("nth") == F.expr("n_positive div 2 + 1")) & (F.col(value) > 0), "median"))
+    out = r.withColumn("kind", F.when(F.col("nth") == 1, "strongest").when(F.col("nth") == 2 + F.expr("greatest(n_positive - 1, 0) div 2"), "median"))
     return out.filter("kind is not null").select(*bucket, key, value, "kind")
 
 

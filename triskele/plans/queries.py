@@ -468,7 +468,7 @@ def best_runs(spark, d):
 
 
 @query("""WITH r AS (SELECT config, run, recall - 4 AS shrink, row_number() OVER (PARTITION BY config ORDER BY recall - 4 DESC, run) AS k, sum((recall - 4 > 0)::INT) OVER (PARTITION BY config) AS p FROM runs)
-  SELECT config, run, shrink, CASE WHEN k = 1 THEN 'strongest' ELSE 'median' END AS kind FROM r WHERE k = 1 OR (k = p // 2 + 1 AND shrink > 0)""")
+  SELECT config, run, shrink, CASE WHEN k = 1 THEN 'strongest' ELSE 'median' END AS kind FROM r WHERE k = 1 OR k = 2 + greatest(p - 1, 0) // 2""")
 def bucket_candidates(spark, d):
     return FR.strongest_and_median(bound(spark, d, "runs").select("config", "run", (F.col("recall") - 4).alias("shrink")), ["config"], "shrink", "run")
 
