@@ -69,3 +69,22 @@ def test_stream_of_files(spark, tmp_path):
     q = run_batches(fasta_stream(spark, str(tmp_path / "in")), "GGAGGAAGAGAAGG", lambda df, k: seen.append((k, df.count())), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert seen and seen[0][0] == 0
+
+
+def test_runs_of_a_stream_across_batches(spark, tmp_path):
+    from triskele.streaming.records import run_stream
+
+    batches = [[("a", 1, 5), ("a", 2, 9), ("b", 7, 1)], [("a", 3, 4), ("a", 9, 2)], [("b", 30, 3), ("a", 20, 1)]]
+    source = tmp_path / "in"
+    schema = "k string, position bigint, score bigint"
+    out = []
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+    source.mkdir()
+    stream = run_stream(spark.readStream.schema(schema).parquet(str(source)), "k")
+    for i in range(len(batches)):
+        for f in (tmp_path / f"b{i}").glob("*.parquet"):
+            f.rename(source / f"{i}-{f.name}")
+        q = stream.writeStream.foreachBatch(lambda df, _: out.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    assert sorted(out) == [("a", 1, 3, 3, 9, 2), ("a", 9, 9, 1, 2, 9), ("b", 7, 7, 1, 1, 7)]
