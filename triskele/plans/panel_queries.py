@@ -324,3 +324,70 @@ def json_defaults(spark, d):
 def integer_lists(spark, d):
     o = Q.read(spark, d, "orders")
     return o.select("o_orderkey", X.integers(F.concat_ws(", ", (F.col("o_orderkey") % 50).cast("string"), F.col("o_custkey").cast("string")), 0).alias("numbers"))
+
+
+# ---------------------------------------------------------------- filters and joins of hits
+
+HITS_OF = """, h AS (SELECT task, ordinal, rule, strand, start_j AS query_start, end_j AS query_end, end_j - start_j + 1 AS nt, best AS score, CAST(45 + best % 40 AS FLOAT) AS identity, CAST(support AS FLOAT) / 2 AS stability FROM windows)"""
+
+
+def _hits_of(spark, d):
+    w = bound(spark, d, "windows")
+    return w.select(
+        "task", "ordinal", "rule", "strand", F.col("start_j").alias("query_start"), F.col("end_j").alias("query_end"), (F.col("end_j") - F.col("start_j") + 1).alias("nt"), F.col("best").alias("score"),
+        (45 + F.col("best") % 40).cast("float").alias("identity"), (F.col("support").cast("float") / 2).cast("float").alias("stability"),
+    )
+
+
+@query("WITH " + HITS_OF[2:] + " SELECT task, ordinal, score FROM h WHERE score >= 70 AND identity >= 60 AND stability >= 1")
+def quality_hits(spark, d):
+    from ..operators import sequences as SQ
+
+    return SQ.good_hits(_hits_of(spark, d), 70).select("task", "ordinal", "score")
+
+
+@query("WITH " + HITS_OF[2:] + " SELECT task, ordinal, nt FROM h WHERE score >= 70 AND identity >= 60 AND stability >= 1 AND nt >= 12")
+def fast_quality_hits(spark, d):
+    from ..operators import sequences as SQ
+
+    return SQ.good_hits(_hits_of(spark, d), 70, least_nt=12).select("task", "ordinal", "nt")
+
+
+@query("WITH " + HITS_OF[2:] + " SELECT task, ordinal FROM h WHERE nt BETWEEN 10 AND 20")
+def span_hits(spark, d):
+    from .search import span_between
+
+    return span_between(_hits_of(spark, d), 10, 20).select("task", "ordinal")
+
+
+@query("WITH " + HITS_OF[2:] + " SELECT task, ordinal, score FROM h WHERE rule <= 2 UNION ALL SELECT task, ordinal, score FROM h WHERE rule >= 2")
+def concatenated_hits(spark, d):
+    h = _hits_of(spark, d).select("task", "ordinal", "score", "rule")
+    return h.filter("rule <= 2").unionByName(h.filter("rule >= 2")).drop("rule")
+
+
+@query("WITH " + HITS_OF[2:] + ", t AS (SELECT task, sum(score)::BIGINT AS a, min(nt) AS b FROM h GROUP BY task) SELECT task, a, b FROM t")
+def matching_tiles(spark, d):
+    from ..operators import compare as C
+
+    h = _hits_of(spark, d)
+    return C.require_same_keys(h.groupBy("task").agg(F.sum("score").alias("a")), h.groupBy("task").agg(F.min("nt").alias("b")), T)
+
+
+@query("WITH " + HITS_OF[2:] + " SELECT task, ordinal, score FROM h WHERE nt > 14")
+def clustered_candidates(spark, d):
+    """Hits long enough to be clustered: those the clusterer gives a class."""
+    from ..operators import coverage as COV
+
+    h = _hits_of(spark, d).withColumn("midpoint", F.expr("(query_start + query_end) div 2"))
+    return COV.clusters(h, ["task"], reach=15, length=14).filter("class > 0").select("task", "ordinal", "score")
+
+
+@query("""WITH t AS (SELECT doc_id, 5000 AS n, (doc_id % 90 + 1)::INT AS a, (doc_id % 90 + 30)::INT AS b, (doc_id % 2)::INT AS r FROM documents)
+  SELECT doc_id, CASE WHEN r = 1 THEN n - b + 1 ELSE a END AS s0, CASE WHEN r = 1 THEN n - a + 1 ELSE b END AS s1 FROM t""")
+def mirrored_windows(spark, d):
+    from .search import source_interval
+
+    r = Q.read(spark, d, "documents")
+    lo, hi = source_interval((F.col("doc_id") % 90 + 1).cast("int"), (F.col("doc_id") % 90 + 30).cast("int"), F.lit(5000), (F.col("doc_id") % 2).cast("int"))
+    return r.select("doc_id", lo.alias("s0"), hi.alias("s1"))
