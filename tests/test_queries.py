@@ -113,6 +113,31 @@ def test_several_queries_meet_every_task(spark, small):
     assert sum(r.query_name == "a" for r in both) == one and {r.query_name for r in both} == {"a", "b"}
 
 
+def test_groups_that_pass_batch_borders_cluster_whole(spark):
+    """Groups of all sizes, one without a name, with batches of three rows, against each group by hand; and no Python call per group."""
+    import numpy as np
+
+    from triskele.kernels.cluster import density_clusters
+    from triskele.operators import coverage
+
+    rng = np.random.default_rng(1)
+    rows = [(None if g == 7 else g, k, int(m), int(nt)) for g in range(60) for k, (m, nt) in enumerate(zip(rng.integers(0, 120, g % 9 + 1), rng.integers(8, 30, g % 9 + 1)))]
+    want = set()
+    for g in range(60):
+        own = [r for r in rows if r[0] == (None if g == 7 else g)]
+        cls, center = density_clusters(np.array([r[2] for r in own if r[3] > 12] or [0]), 15)
+        each = iter(zip(cls.tolist(), center.tolist()))
+        want |= {(*r, *(next(each) if r[3] > 12 else (0, r[2]))) for r in own}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        out = coverage.clusters(spark.createDataFrame(rows, "seq int, ordinal int, midpoint bigint, nt int"), ["seq"], length=12)
+        got = [tuple(r) for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows) and set(got) == want
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
 def test_boxes_of_all_windows(spark):
     pairs = lambda name: {tuple(r) for r in QUERIES[name](spark, DATA).collect()}
     some, every = pairs("box_overlap"), pairs("box_overlap_all")
