@@ -138,6 +138,15 @@ def test_groups_that_pass_batch_borders_cluster_whole(spark):
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
 
 
+def test_ranking_reads_its_windows_once(spark):
+    """Features come of one scan and two shuffles, and the fits read what was written of them."""
+    plan = queries.features(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") <= 2 and "Join" not in plan
+    out = QUERIES["task_ranking"](spark, DATA)
+    assert not any("lineitem" in f for f in out.inputFiles())
+    assert out.count() == queries.features(spark, DATA).count()
+
+
 def test_boxes_of_all_windows(spark):
     pairs = lambda name: {tuple(r) for r in QUERIES[name](spark, DATA).collect()}
     some, every = pairs("box_overlap"), pairs("box_overlap_all")

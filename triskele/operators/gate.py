@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import margin, window_bp
-from .windows import budget, rank_order
+from .windows import admitted, budget, rank_order
 
 SINGLETON_OVERRIDE = 85
 
@@ -36,9 +36,12 @@ def missing_margin_singleton() -> Column:
 
 
 def gate(windows: DataFrame, task: list[str], config: GateConfig = GateConfig()) -> DataFrame:
-    """Every window with its flags, after_gate and reject_reason (``kept`` where nothing speaks against it)."""
+    """Every window with its flags, after_gate and reject_reason (``kept`` where nothing speaks against it).
+
+    Windows are dealt out by task once; every step then stays where a task's windows are.
+    """
     m = margin(F.col("best"), F.col("second"))
-    out = windows.withColumns({
+    out = (windows if config.mode == "off" else windows.repartition(*task)).withColumns({
         "margin": m, "bp": window_bp(F.col("start_j"), F.col("end_j")), "peak_score_ok": F.col("best") >= config.min_peak,
         "support_ok": F.col("support") >= config.min_support, "margin_ok": F.coalesce(m >= config.min_margin, F.lit(False)), "strong_score_ok": F.col("best") >= config.strong,
     })
@@ -59,7 +62,12 @@ def gate(windows: DataFrame, task: list[str], config: GateConfig = GateConfig())
     out = out.withColumn("sorted_rank", F.when(passed, rank))
     in_top = passed & (F.col("sorted_rank") < config.max_windows) if config.max_windows >= 0 else passed
     out = out.withColumn("reason", F.when(passed & ~in_top, "max_windows").otherwise(F.col("reason"))).withColumn("in_top", in_top)
-    if config.max_bp >= 0:
+    if config.max_bp >= 0 and config.max_windows >= 0:
+        taken = F.collect_list(F.when(F.col("in_top"), F.struct(F.col("sorted_rank").alias("r"), F.col("bp").cast("bigint").alias("b")))).over(Window.partitionBy(*task))
+        out = out.withColumn("after_gate", F.col("in_top") & F.array_contains(admitted(taken, config.max_bp), F.col("sorted_rank")))
+        out = out.withColumn("after_gate", F.coalesce("after_gate", F.lit(False)))
+        out = out.withColumn("reason", F.when(F.col("in_top") & ~F.col("after_gate") & (F.col("bp") > 0), "max_bp").otherwise(F.col("reason")))
+    elif config.max_bp >= 0:
         chosen = budget(out.filter("in_top"), task, config.max_bp, "sorted_rank").select(*task, "ordinal", "admitted")
         out = out.join(chosen, [*task, "ordinal"], "left").withColumn("after_gate", F.coalesce("admitted", F.lit(False))).drop("admitted")
         out = out.withColumn("reason", F.when(F.col("in_top") & ~F.col("after_gate") & (F.col("bp") > 0), "max_bp").otherwise(F.col("reason")))
@@ -71,13 +79,14 @@ def gate(windows: DataFrame, task: list[str], config: GateConfig = GateConfig())
 def covered(trace: DataFrame, task: list[str]) -> DataFrame:
     """``trace`` with ``covered``: the window lies inside a kept window of its task.
 
-    Kept windows per task are few (the gate bounds them), so the join stays near the trace's size.
+    Kept windows per task are few (the gate bounds them), so every window meets the list of its task's;
+    a task without a rejected window needs none.
     """
-    kept = trace.filter("after_gate").select(*task, F.col("start_j").alias("k0"), F.col("end_j").alias("k1"))
-    hit = (
-        trace.filter("not after_gate").join(kept, task).filter("k0 <= start_j and k1 >= end_j").select(*task, "ordinal").distinct().withColumn("covered", F.lit(True))
-    )
-    return trace.join(hit, [*task, "ordinal"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    every = Window.partitionBy(*task)
+    known = trace.withColumn("rejects", F.count_if(~F.col("after_gate")).over(every) > 0)
+    kept = F.collect_list(F.when(F.col("after_gate") & F.col("rejects"), F.struct(F.col("start_j").alias("k0"), F.col("end_j").alias("k1")))).over(every)
+    inside = F.exists("kept_of", lambda k: (k["k0"] <= F.col("start_j")) & (k["k1"] >= F.col("end_j")))
+    return known.withColumn("kept_of", kept).withColumn("covered", ~F.col("after_gate") & F.coalesce(inside, F.lit(False))).drop("rejects", "kept_of")
 
 
 def task_state(trace: DataFrame, task: list[str], fallback: FallbackConfig = FallbackConfig()) -> DataFrame:

@@ -7,17 +7,24 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder
+
 
 def learned_ranking(rows: DataFrame, group: str, features: list[str], target: str, key: list[str], kind: str = "ridge", alpha: float = 1.0) -> DataFrame:
     """Each group's rows ranked by a model fitted on all other groups: key, group, prediction, nth.
 
     ``ridge`` standardises features and penalises with ``alpha``; ``trees`` boosts regression trees.
-    Groups are few (anchors of a panel): one model is fitted for each.
+    Groups are few (anchors of a panel): one model is fitted for each. Every fit reads the rows several
+    times, so they are written once, with the columns that are needed, and read from there.
     """
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array  # noqa: F401  (registers the vector type)
     from pyspark.ml.regression import GBTRegressor, LinearRegression
 
+    spark, at = rows.sparkSession, folder(rows.sparkSession, "ranking")
+    needed = rows.select(*dict.fromkeys([*key, group, *features, target]))
+    needed.write.parquet(at)
+    rows = spark.read.schema(needed.schema).parquet(at)
     ready = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep").transform(rows.fillna(0, features))
     groups = [r[0] for r in ready.select(group).distinct().orderBy(group).collect()]
     parts = []

@@ -54,13 +54,8 @@ def top(windows: DataFrame, task: list[str], n: int) -> DataFrame:
     return ranked(windows, task).filter(F.col("rank") < n)
 
 
-def budget(ranked: DataFrame, task: list[str], cap: int, rank: str = "rank", bp: str = "bp") -> DataFrame:
-    """``ranked`` with ``admitted``: in rank order, a row is taken if it still fits under ``cap``, else skipped.
-
-    A running sum would count skipped rows, so the choice is a fold over the task's rows in rank
-    order. Callers bound the rows of a task (top-N) first.
-    """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(bp).cast("bigint").alias("b"))))
+def admitted(rows: Column, cap: int) -> Column:
+    """Of an array of (r, b) the r of those that fit under ``cap``, in their order, when one that does not fit is skipped."""
     start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<int>").alias("taken"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -70,7 +65,17 @@ def budget(ranked: DataFrame, task: list[str], cap: int, rank: str = "rank", bp:
             F.when(fits, F.concat(acc["taken"], F.array(x["r"].cast("int")))).otherwise(acc["taken"]).alias("taken"),
         )
 
-    taken = ranked.groupBy(*task).agg(F.aggregate(rows, start, step)["taken"].alias("taken"))
+    return F.aggregate(F.array_sort(rows), start, step)["taken"]
+
+
+def budget(ranked: DataFrame, task: list[str], cap: int, rank: str = "rank", bp: str = "bp") -> DataFrame:
+    """``ranked`` with ``admitted``: in rank order, a row is taken if it still fits under ``cap``, else skipped.
+
+    A running sum would count skipped rows, so the choice is a fold over the task's rows in rank
+    order. Callers bound the rows of a task (top-N) first.
+    """
+    rows = F.collect_list(F.struct(F.col(rank).alias("r"), F.col(bp).cast("bigint").alias("b")))
+    taken = ranked.groupBy(*task).agg(admitted(rows, cap).alias("taken"))
     return ranked.join(taken, task).withColumn("admitted", F.array_contains("taken", F.col(rank).cast("int"))).drop("taken")
 
 
