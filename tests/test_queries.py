@@ -147,6 +147,23 @@ def test_ranking_reads_its_windows_once(spark):
     assert out.count() == queries.features(spark, DATA).count()
 
 
+@pytest.mark.parametrize("top", [7, 256])
+def test_peaks_are_suppressed_in_the_kernel(spark, small, top):
+    """The same peaks as those of all column maxima suppressed afterwards, of which none leaves the kernel now."""
+    from triskele.operators import windows as W
+    from triskele.plans import search
+
+    tasks = plan_tasks(kernel_queries.Q.dna(spark, DATA), kernel_queries.CONFIG).select(*kernel_queries.TASK, "target")
+    want = W.suppress(search.column_peaks(tasks, kernel_queries.RNA, top), kernel_queries.TASK, 10, floor=0)
+    got = search.suppressed_peaks(tasks, kernel_queries.RNA, 10, top)
+    columns = [*kernel_queries.TASK, "position", "score"]
+    rows = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
+    assert rows(got) == rows(want) and got.count() > 0
+    assert all(r.n == len(r.target) for r in got.join(tasks, kernel_queries.TASK).collect())
+    plan = two_stage_windows(tasks, kernel_queries.RNA, kernel_queries.TASK, 8, 4, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "Join" not in plan.replace("BroadcastNestedLoopJoin", "")
+
+
 def test_boxes_of_all_windows(spark):
     pairs = lambda name: {tuple(r) for r in QUERIES[name](spark, DATA).collect()}
     some, every = pairs("box_overlap"), pairs("box_overlap_all")
